@@ -160,3 +160,14 @@ def distinct_sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def held_out(id_column, modulus: int, rest: int):
     """crc32 of the id as text, modulo: the fold rule of the learned operators. False for a null id."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
+
+#: Ids up to which a table of them is broadcast; beyond, rows are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows whose id isn't in ids (one column); a null id stays. Texts stay where they are while ids fit a broadcast."""
+    gone = ids.toDF("gone__").where("gone__ IS NOT NULL").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone, rows[id_col] == gone["gone__"], "left_anti")

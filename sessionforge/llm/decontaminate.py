@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, distinct_sets, mix, shingle_hashes, slices, text_buffer, word_hashes
+from .common import U64, byte_table, distinct_sets, mix, shingle_hashes, slices, text_buffer, without, word_hashes
 
 WORDS, THRESHOLD, MINHASHES, LEAST_CLASS = 5, 0.8, 64, 8
 #: Items (and their bytes) that one pass over the documents looks for; more items take more passes.
@@ -152,5 +152,4 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without the contaminated ones. A row with a null id can't be named by a match and stays."""
-    bad = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("bad__")).where("bad__ IS NOT NULL").distinct()
-    return docs.join(bad, docs[id_col] == bad["bad__"], "left_anti")
+    return without(docs, contaminated(docs, items, id_col=id_col, **options).select("doc_id"), id_col)

@@ -202,9 +202,13 @@ def identify(docs: DataFrame, texts: dict[str, bytes], *, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("doc_id"), *keep, F.lower(text).alias("lowered__"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters__")).mapInArrow(predict, schema)
 
 
+def fitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """Labelled texts out of the documents outside the held-out fold."""
+    return labelled_texts(docs.where(~held_out(F.col(id_col), 4, 2)), id_col=id_col, text_col=text_col, lang_col=lang_col)
+
+
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from documents outside the held-out fold (crc32 of the id modulo 4 is 2) and predicts all documents."""
-    fold = held_out(F.col(id_col), 4, 2)
-    texts = labelled_texts(docs.where(~fold), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), fold.alias("held_out"))
+    texts = fitted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col), 4, 2).alias("held_out"))
     return identify(rows, texts, keep=("held_out",))

@@ -77,6 +77,11 @@ def quotas(leaves: DataFrame, *, domain_weights: dict[str, float], lang_weights:
     return ends.withColumn("quota", F.least(F.floor(F.col("share") + 1e-6), F.col("tokens") * epochs)).select(*LEVELS, "tokens", "quota")
 
 
+def prefix_of(text: Column, n: Column) -> Column:
+    """A text's first n words, joined by single spaces."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n.cast("int")), " ")
+
+
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, domain_weights: dict[str, float] | None = None, lang_weights: dict[str, float] | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, whole_epochs, prefix_tokens and taken_tokens of the documents taken.
 

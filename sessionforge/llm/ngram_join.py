@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, distinct_sets, dropped, mix, saved, shingle_hashes, slices, text_buffer, word_hashes
+from .common import BROADCAST_IDS, U64, byte_table, distinct_sets, dropped, mix, saved, shingle_hashes, slices, text_buffer, word_hashes
 from .components import components
 
 #: Cost model: the share of its shingles that a document has in common with another by chance, and how many index
@@ -37,8 +37,6 @@ from .components import components
 COMMON, VERIFY = 0.01, 20.0
 #: Spare segments of the exact way, as a share of H + 1.
 SPARE = 0.3
-#: Candidate sets up to which their ids are broadcast to fetch texts; beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 #: Bytes of text whose keys travel together.
 BATCH_BYTES = 8 << 20
 

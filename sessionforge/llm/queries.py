@@ -16,6 +16,7 @@ from .licenses import licenses
 from .mixing import mixed
 from .nearest import nearest
 from .ngram_join import ngram_components
+from .repeated_bytes import without_repeats
 from .token_counts import token_counts
 from .token_files import token_files
 from .toxicity import toxicity
@@ -36,6 +37,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, similarity=Fraction(9, 10))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -67,6 +72,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1,
     "op2_ngram_join": op2,
+    "op3_suffix_array": op3,
     "op4_token_counts": op4,
     "op5_licenses": op5,
     "op6_language_id": op6,
