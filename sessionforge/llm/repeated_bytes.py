@@ -32,7 +32,7 @@ LENGTH, GRAM = 50, 16
 STARTS, SIDE = LENGTH - GRAM + 1, LENGTH - GRAM
 WIDTH = 2 * SIDE + GRAM
 LAST = (1 << 63) - 1  # stands for a null id: after all others
-BATCH_BYTES, ARRAY_BYTES = 8 << 20, 1 << 19
+SLICE_BYTES, BATCH_GRAMS, ARRAY_BYTES = 2 << 20, 400_000, 1 << 19
 ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -75,32 +75,40 @@ _GRAMS = pa.schema([("part", pa.int32()), ("grams", pa.binary()), ("place", pa.b
 
 
 def _send_grams(parts: int):
+    def packed(gram: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, gram))
+        gram, doc = gram[order], doc[order]
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+        gram, doc = gram[fresh], doc[fresh]
+        first = np.ones(len(gram), bool)
+        first[1:] = gram[1:] != gram[:-1]
+        shared = np.zeros(len(gram), bool)
+        shared[:-1] = first[:-1] & ~first[1:]
+        to = np.where(first, (gram >> U64(40)) % U64(parts), mix(doc.view(np.uint64)) % U64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        bounds = np.searchsorted(to[order], np.arange(parts + 1))
+        rows = []
+        for p in range(parts):
+            own = order[bounds[p] : bounds[p + 1]]
+            if len(own):
+                used, local = np.unique(doc[own], return_inverse=True)
+                flags = shared[own].astype(np.uint8) | ((~first[own]).astype(np.uint8) << 1)
+                rows.append((p, gram[own].tobytes(), local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(), flags.tobytes(), used.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GRAMS, strict=True)], schema=_GRAMS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in slices(batch, "text", BATCH_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES):
                 _, gram, doc = anchors(*text_buffer(part.column(1)))
-                docs = _ids(part.column(0))
-                order = np.lexsort((doc, gram))
-                gram, doc = gram[order], doc[order]
-                fresh = np.ones(len(gram), bool)
-                fresh[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-                gram, doc = gram[fresh], doc[fresh]
-                first = np.ones(len(gram), bool)
-                first[1:] = gram[1:] != gram[:-1]
-                shared = np.zeros(len(gram), bool)
-                shared[:-1] = first[:-1] & ~first[1:]
-                to = np.where(first, (gram >> U64(40)) % U64(parts), mix(docs[doc].view(np.uint64)) % U64(parts)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                bounds = np.searchsorted(to[order], np.arange(parts + 1))
-                rows = []
-                for p in range(parts):
-                    own = order[bounds[p] : bounds[p + 1]]
-                    if len(own):
-                        used, local = np.unique(doc[own], return_inverse=True)
-                        flags = shared[own].astype(np.uint8) | ((~first[own]).astype(np.uint8) << 1)
-                        rows.append((p, gram[own].tobytes(), local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(), flags.tobytes(), docs[used].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GRAMS, strict=True)], schema=_GRAMS)
+                if len(gram):
+                    held.append((gram, _ids(part.column(0))[doc]))
+                if sum(len(g) for g, _ in held) >= BATCH_GRAMS:
+                    yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held.clear()
+        if held:
+            yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
@@ -140,7 +148,7 @@ _HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("before",
 def _send_contexts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", BATCH_BYTES // 2):
+            for part in slices(batch, "text", SLICE_BYTES):
                 raw, at = text_buffer(part.column(1))
                 place, gram, doc = anchors(raw, at)
                 grams = part.column(2)
@@ -305,7 +313,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", BATCH_BYTES):
+        for part in slices(batch, "text", SLICE_BYTES):
             raw, at = text_buffer(part.column(1))
             out = []
             for d, (begins, ends) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
