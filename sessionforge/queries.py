@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "item_popularity"
+from .plans import registry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registry.QUERIES
+ORACLE_SQL: dict[str, str] = registry.ORACLE_SQL
+FLAGSHIP = "ranker_metrics"
