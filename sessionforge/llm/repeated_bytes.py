@@ -141,8 +141,8 @@ def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 _CONTEXTS = pa.schema([("part", pa.int32()), ("head", pa.binary()), ("bytes", pa.binary())])
-#: One context: its gram, document, place of the gram, bytes before and after that count, least document of its copies here.
-_HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1")])
+#: One context: its gram, document (and text's hash, as an id may be repeated), the gram's place, bytes before and after.
+_HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1")])
 
 
 def _send_contexts(parts: int):
@@ -158,10 +158,10 @@ def _send_contexts(parts: int):
                 place, gram, doc = place[use], gram[use], doc[use]
                 if not len(place):
                     continue
-                docs = _ids(part.column(0))
+                docs, tags = _ids(part.column(0)), part.column(3).to_numpy()
                 padded = np.concatenate([np.zeros(SIDE, np.uint8), raw, np.zeros(WIDTH, np.uint8)])
                 head = np.zeros(len(place), _HEAD)
-                head["gram"], head["doc"], head["place"] = gram, docs[doc], place - at[doc]
+                head["gram"], head["doc"], head["tag"], head["place"] = gram, docs[doc], tags[doc], place - at[doc]
                 head["before"] = np.minimum(SIDE, place - at[doc])
                 head["after"] = np.minimum(SIDE, at[doc + 1] - place - GRAM)
                 to = ((gram >> U64(40)) % U64(parts)).astype(np.int64)
@@ -176,8 +176,8 @@ def _send_contexts(parts: int):
     return run
 
 
-def _ranges(head: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the ranges that contexts have from earlier documents; all contexts of each gram here."""
+def _ranges(head: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, tag, start, end) of the ranges that contexts have from earlier documents; all contexts of each gram here."""
     n = len(head)
     column = np.arange(WIDTH)
     before, after = head["before"].astype(np.int64), head["after"].astype(np.int64)
@@ -247,16 +247,16 @@ def _ranges(head: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     own = several[kinds] & (doc > least[kinds])  # the whole context stands in an earlier document
     begin = np.where(own, low[kinds], WIDTH)
     end = np.where(own & (low <= high)[kinds], high[kinds] + LENGTH, 0)
-    out = [(doc[i], begin[i], end[i], head["place"][i]) for i in (np.flatnonzero(end > begin),)]
+    out = [(doc[i], head["tag"][i], begin[i], end[i], head["place"][i]) for i in (np.flatnonzero(end > begin),)]
     rest = np.flatnonzero(~own & (last[kinds] >= 0))
     got = earliest[kinds[rest]] < doc[rest][:, None]
     edge = np.zeros((len(rest), 1), bool)
     turn = np.diff(np.concatenate([edge, got, edge], axis=1).astype(np.int8), axis=1)
     i, a = np.nonzero(turn == 1)
     _, b = np.nonzero(turn == -1)
-    out.append((doc[rest[i]], a, b - 1 + LENGTH, head["place"][rest[i]]))
-    doc, begin, end, place = (np.concatenate(c) for c in zip(*out, strict=True))
-    return doc, place.astype(np.int64) - SIDE + begin, place.astype(np.int64) - SIDE + end
+    out.append((doc[rest[i]], head["tag"][rest[i]], a, b + LENGTH - 1, head["place"][rest[i]]))
+    doc, tag, begin, end, place = (np.concatenate(c) for c in zip(*out, strict=True))
+    return doc, tag, place.astype(np.int64) - SIDE + begin, place.astype(np.int64) - SIDE + end
 
 
 def _order(block: list[tuple[bytes, list[int]]], earliest: np.ndarray, least: np.ndarray, first: np.ndarray) -> None:
@@ -300,15 +300,15 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     while at < len(head):  # whole grams, some thousand contexts at a time
         stop = np.searchsorted(grams, at + 20_000)
         stop = int(grams[stop]) if stop < len(grams) else len(head)
-        doc, begin, end = _ranges(head[at:stop], text[order[at:stop]])
+        doc, tag, begin, end = _ranges(head[at:stop], text[order[at:stop]])
         at = stop
         if len(doc):
-            o = np.lexsort((begin, doc))  # ranges of one document that touch become one
-            doc, begin, end = doc[o], begin[o], end[o]
+            o = np.lexsort((begin, tag, doc))  # ranges of one document that touch become one
+            doc, tag, begin, end = doc[o], tag[o], begin[o], end[o]
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])
+            new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (begin[1:] > end[:-1])
             s = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(begin[s].astype(np.int32)), pa.array(np.maximum.reduceat(end, s).astype(np.int32))], ["doc", "begin", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(tag[s]), pa.array(begin[s].astype(np.int32)), pa.array(np.maximum.reduceat(end, s).astype(np.int32))], ["doc", "tag", "begin", "end"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,8 +358,10 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grams = rest.mapInArrow(_send_grams(parts), "part int, grams binary, place binary, flags binary, docs binary")
     grams = grams.repartitionById(parts, F.col("part")).mapInArrow(_shared_grams, "doc long, gram long")
     by_doc = grams.groupBy("doc").agg(F.collect_list("gram").alias("grams"))
-    contexts = rest.join(by_doc.hint("merge"), "doc").select("doc", "text", "grams").mapInArrow(_send_contexts(parts), "part int, head binary, bytes binary")
-    ranges = contexts.repartitionById(parts, F.col("part")).mapInArrow(_covered, "doc long, begin int, end int")
-    ranges = ranges.groupBy("doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    final = rest.join(ranges.hint("merge"), "doc", "left").select("doc", "text", "begins", "ends").mapInArrow(_kept, ROWS)
+    contexts = rest.join(by_doc.hint("merge"), "doc").select("doc", "text", "grams", F.xxhash64("text").alias("tag")).mapInArrow(_send_contexts(parts), "part int, head binary, bytes binary")
+    ranges = contexts.repartitionById(parts, F.col("part")).mapInArrow(_covered, "doc long, tag long, begin int, end int")
+    ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("tag", "begin", "end")).alias("ranges"))
+    own = F.filter("ranges", lambda r: r["tag"] == F.xxhash64("text"))
+    final = rest.join(ranges.hint("merge"), "doc", "left").select("doc", "text", own.alias("own"))
+    final = final.select("doc", "text", F.col("own.begin").alias("begins"), F.col("own.end").alias("ends")).mapInArrow(_kept, ROWS)
     return final.unionByName(copied)
