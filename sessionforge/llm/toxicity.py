@@ -23,7 +23,7 @@ ALPHABET = b"abcdefghijklmnopqrstuvwxyz0123456789'"
 #: Feature kinds, the most telling first: the word, then so many first (positive) or last (negative) bytes.
 KINDS = (0, 6, 5, 4, 3, -5, -4, -3)
 #: Labelled documents of each class that are learned from at most, and characters of each.
-TRAIN_EACH_CLASS, TRAIN_CHARS = 2_000, 12_000
+TRAIN_EACH_CLASS, TRAIN_CHARS = 1_200, 8_000
 #: A marker occurs in this share of toxic documents at least, and this precise.
 LEAST_SHARE, PRECISION, MARKERS = 0.004, 0.97, 512
 WINDOW, WINDOWS, FEATURES, STEPS = 24, 4_000, 8_192, 120
@@ -234,9 +234,13 @@ def fit(texts: list[str], toxic: np.ndarray, ratio: float = 1.0, seed: int = 10)
     x, y = np.where(ok[:, :, None], ids[place], 0), np.where(ok, label[place], False)
     weights, transition, start = _learn(x, y, ok, len(known))
     model = Model(known, weights, transition, start)
-    m, bounds, _, _ = model.tag(raw, at)
-    evidence = _evidence(m, bounds)
-    model.document = _logistic(evidence, toxic, ratio)
+    del h, ids, x, y, ok, place
+    evidence = []
+    for low in range(0, len(toxic), 200):
+        part = at[low : low + 201]
+        m, bounds, _, _ = model.tag(raw[part[0] : part[-1]], part - part[0])
+        evidence.append(_evidence(m, bounds))
+    model.document = _logistic(np.concatenate(evidence), toxic, ratio)
     return model
 
 
