@@ -62,8 +62,8 @@ PARTS = {
     "norms": "SELECT item_id, sqrt(count(*)) AS norm FROM edges GROUP BY item_id",
     "listed": "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS number FROM itm",
     "rand_n": f"""SELECT session_id, item_id FROM (SELECT session_id, item_id, row_number() OVER (PARTITION BY session_id ORDER BY draw) AS r FROM (
-      SELECT d.session_id, l.item_id, min(draw) AS draw FROM (SELECT session_id, prefix, target, unnest(range(0, 81 + 4 * len(prefix))) AS draw FROM clean) d
-      JOIN listed l ON l.number = {u('0', "'random'", 'd.session_id', 'd.draw')} % (SELECT count(*) FROM listed)
+      SELECT d.session_id, l.item_id, min(draw) AS draw FROM (SELECT *, {u('0', "'random'", 'session_id', 'draw')} % (SELECT count(*) FROM listed) AS number
+        FROM (SELECT session_id, prefix, target, unnest(range(0, 81 + 4 * len(prefix))) AS draw FROM clean)) d JOIN listed l ON l.number = d.number
       WHERE NOT list_contains(d.prefix, l.item_id) AND l.item_id <> d.target GROUP BY ALL)) WHERE r < 20""",
     "rand": _pool("rand_n", "random"),
     "base": f"SELECT i.item_id, i.genres, coalesce(p.n, 0) AS n, coalesce(s.first_seen, 4611686018427387904) AS seen, {order('0', 'i.item_id')} AS tie FROM itm i LEFT JOIN pop p USING (item_id) LEFT JOIN seen s USING (item_id)",
