@@ -45,6 +45,11 @@ def _slide(a: np.ndarray, width: int, f) -> np.ndarray:
     return f(a[: len(a) - (width - step)], a[width - step :]) if step < width else a
 
 
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a gram from its first and last eight bytes."""
+    return mix(mix(a.astype(np.uint64)) + b.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F)) | U64(1)
+
+
 def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, gram's hash, text) of the anchors of all windows of all texts."""
     n, sizes = len(raw), np.diff(at)
@@ -52,9 +57,7 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     whole = np.ascontiguousarray(raw)
     grams = n - GRAM + 1
-    a = np.ndarray((grams,), "<u8", whole.data, 0, (1,)).astype(np.uint64)
-    b = np.ndarray((grams,), "<u8", whole.data, 8, (1,)).astype(np.uint64)
-    h = mix(mix(a) + b * U64(0xC2B2AE3D27D4EB4F)) | U64(1)
+    h = _gram(np.ndarray((grams,), "<u8", whole.data, 0, (1,)), np.ndarray((grams,), "<u8", whole.data, 8, (1,)))
     least = _slide(h, STARTS, np.minimum)
     inside = np.zeros(len(least) + 1, np.int32)
     long = sizes >= LENGTH
@@ -140,9 +143,12 @@ def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(gram[cut].view(np.int64))], ["doc", "gram"])
 
 
-_CONTEXTS = pa.schema([("part", pa.int32()), ("head", pa.binary()), ("bytes", pa.binary())])
-#: One context: its gram, document (and text's hash, as an id may be repeated), the gram's place, bytes before and after.
+_CONTEXTS = pa.schema([("part", pa.int32()), ("head", pa.binary()), ("docs", pa.binary()), ("bytes", pa.binary())])
+#: One context on its way: its document's place in a list, the gram's place, bytes before and after it that count. The
+#: gram's hash is taken from the bytes again. The list holds ids and hashes of texts, as an id may be repeated.
+_SENT = np.dtype([("local", "<u2"), ("place", "<u4"), ("before", "u1"), ("after", "u1")])
 _HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1")])
+_MOST_DOCS = 1 << 16
 
 
 def _send_contexts(parts: int):
@@ -160,18 +166,22 @@ def _send_contexts(parts: int):
                     continue
                 docs, tags = _ids(part.column(0)), part.column(3).to_numpy()
                 padded = np.concatenate([np.zeros(SIDE, np.uint8), raw, np.zeros(WIDTH, np.uint8)])
-                head = np.zeros(len(place), _HEAD)
-                head["gram"], head["doc"], head["tag"], head["place"] = gram, docs[doc], tags[doc], place - at[doc]
+                head = np.zeros(len(place), _SENT)
+                head["place"] = place - at[doc]
                 head["before"] = np.minimum(SIDE, place - at[doc])
                 head["after"] = np.minimum(SIDE, at[doc + 1] - place - GRAM)
                 to = ((gram >> U64(40)) % U64(parts)).astype(np.int64)
                 order = np.lexsort((gram, to))
                 bounds = np.searchsorted(to[order], np.arange(parts + 1))
                 for p in range(parts):
-                    own = order[bounds[p] : bounds[p + 1]]
-                    if len(own):
+                    mine = order[bounds[p] : bounds[p + 1]]
+                    for low in range(0, len(mine), _MOST_DOCS):
+                        own = mine[low : low + _MOST_DOCS]
+                        used, local = np.unique(doc[own], return_inverse=True)
+                        head["local"][own] = local
                         text = padded[place[own][:, None] + np.arange(WIDTH)]
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([head[own].tobytes()], pa.binary()), pa.array([text.tobytes()], pa.binary())], schema=_CONTEXTS)
+                        listed = np.concatenate([docs[used], tags[used]]).astype("<i8")
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (head[own], listed, text))], schema=_CONTEXTS)
 
     return run
 
@@ -287,8 +297,16 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     heads, texts = [], []
     for batch in batches:
         for r in batch.to_pylist():
-            heads.append(np.frombuffer(r["head"], _HEAD))
-            texts.append(np.frombuffer(r["bytes"], np.uint8).reshape(-1, WIDTH))
+            sent, text = np.frombuffer(r["head"], _SENT), np.frombuffer(r["bytes"], np.uint8).reshape(-1, WIDTH)
+            docs, tags = np.frombuffer(r["docs"], "<i8").reshape(2, -1)
+            head = np.zeros(len(sent), _HEAD)
+            for name in ("place", "before", "after"):
+                head[name] = sent[name]
+            head["doc"], head["tag"] = docs[sent["local"]], tags[sent["local"]]
+            middle = np.ascontiguousarray(text[:, SIDE : SIDE + GRAM]).view("<u8")
+            head["gram"] = _gram(middle[:, 0], middle[:, 1])
+            heads.append(head)
+            texts.append(text)
     if not heads:
         return
     head, text = np.concatenate(heads), np.concatenate(texts)
@@ -358,7 +376,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grams = rest.mapInArrow(_send_grams(parts), "part int, grams binary, place binary, flags binary, docs binary")
     grams = grams.repartitionById(parts, F.col("part")).mapInArrow(_shared_grams, "doc long, gram long")
     by_doc = grams.groupBy("doc").agg(F.collect_list("gram").alias("grams"))
-    contexts = rest.join(by_doc.hint("merge"), "doc").select("doc", "text", "grams", F.xxhash64("text").alias("tag")).mapInArrow(_send_contexts(parts), "part int, head binary, bytes binary")
+    contexts = rest.join(by_doc.hint("merge"), "doc").select("doc", "text", "grams", F.xxhash64("text").alias("tag")).mapInArrow(_send_contexts(parts), "part int, head binary, docs binary, bytes binary")
     ranges = contexts.repartitionById(parts, F.col("part")).mapInArrow(_covered, "doc long, tag long, begin int, end int")
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("tag", "begin", "end")).alias("ranges"))
     own = F.filter("ranges", lambda r: r["tag"] == F.xxhash64("text"))
