@@ -12,10 +12,13 @@ allocated by cost for each instance:
 Small sets, whose subsets would be few shingles and meet by chance, take the second way; others the first.
 
 Keys travel as packed arrays dealt by key; what meets another set's key becomes a row (key, set). Sets that share a
-key aren't paired with each other: each is verified against the least probing set of its keys, verified links are
-made components, and only keys whose sets are still in several components are gone on with, with more of their
-probes as pivots in every round (1, 2, 4, ...), until no key is left that could join two components. Equal sets are
-one set from the start, so a group of copies is one row to all of this."""
+key aren't paired with each other. First each set is verified against one set only: of the least probing sets of its
+keys, the one it shares most keys with. Verified links are made components. Keys whose sets are then in several
+components are gone through again, in blocks of bounded size: two sets of different components are compared by their
+parity sketches (each shingle flips one bit, so sketches never differ in more bits than the sets in shingles). For a
+few rounds each set offers only its nearest partner, which joins most of what belongs together by few rows; the last
+round offers every pair that the sketches leave open. No pair that could join two components is left out.
+Equal sets are one set from the start, so a group of copies is one row to all of this."""
 
 from __future__ import annotations
 
@@ -26,10 +29,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, U64, byte_table, distinct_sets, dropped, mix, saved, shingle_hashes, slices, text_buffer, word_hashes
+from .common import BROADCAST_IDS, U64, byte_table, distinct_sets, mix, saved, shingle_hashes, slices, text_buffer, word_hashes
 from .components import components
 
 #: Cost model: the share of its shingles that a document has in common with another by chance, and how many index
@@ -37,8 +40,10 @@ from .components import components
 COMMON, VERIFY = 0.01, 20.0
 #: Spare segments of the exact way, as a share of H + 1.
 SPARE = 0.3
-#: Bytes of text whose keys travel together.
-BATCH_BYTES = 8 << 20
+#: Index entries that travel together, and sets of one key that meet in one block.
+BATCH_ENTRIES, BLOCK_SETS = 400_000, 512
+#: Rounds of nearest partners before the last one, at most.
+ROUNDS = 3
 
 
 def bands(similarity: Fraction, most: int) -> np.ndarray:
@@ -207,28 +212,36 @@ def members(docs: DataFrame, k: int, similarity: Fraction, seed: int, documents:
     plan = allocation(low, similarity, documents)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            base = np.cumsum([0, *(len(x[3]) for x in held)])
+            key, place, probe, names, sizes = (np.concatenate([x[i] + base[j] if i == 1 else x[i] for j, x in enumerate(held)]) for i in range(5))
+            held.clear()
+            rows = list(_packed(key, names, sizes, place, probe, parts))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
         for batch in batches:
-            for part in slices(batch, "text", BATCH_BYTES):
+            for part in slices(batch, "text"):
                 h, at = document_sets(*text_buffer(part.column(0)), k)
                 names = set_names(h, at, seed)
                 sizes = np.diff(at)
                 _, one = np.unique(names, return_index=True)  # copies of a set give its keys once
                 one = np.sort(one[names[one] != 0])
-                take = np.isin(np.repeat(np.arange(len(names)), sizes), one)
-                at = np.concatenate([[0], np.cumsum(sizes[one])])
-                rows = list(_packed(*_keyed(h[take], at, names[one], low, plan, similarity), parts))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+                chosen = np.zeros(len(names), bool)
+                chosen[one] = True
+                h = h[np.repeat(chosen, sizes)]
+                held.append((*index_keys(h, np.concatenate([[0], np.cumsum(sizes[one])]), low, plan, similarity), names[one], sizes[one]))
+                if sum(len(x[0]) for x in held) >= BATCH_ENTRIES:
+                    yield from packed()
+        if held:
+            yield from packed()
 
     packed = docs.select("text").mapInArrow(emit, _ROW)
     return packed.repartitionById(parts, F.col("part")).mapInArrow(_gathered, "key long, name long, size int, probe boolean")
 
 
-def _keyed(h, at, names, low, plan, similarity):
-    keys, place, probe = index_keys(h, at, low, plan, similarity)
-    return keys, names, np.diff(at), place, probe
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough, counted exactly."""
     p, q = similarity.numerator, similarity.denominator
@@ -273,33 +286,101 @@ def _links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, simil
     """Verified links (u, v) of set names, enough of them to join every component."""
     p, q = similarity.numerator, similarity.denominator
     near = (F.col("size") * q >= F.col("size2") * p) & (F.col("size2") * q >= F.col("size") * p)
-    names = shared.select("name").distinct()
-    sets = saved(_set_table(rows, names, classes, k, seed))
+    sets = saved(_set_table(rows, shared.select("name").distinct(), classes, k, seed))
     pivots = shared.where("probe").groupBy("key").agg(F.min(F.struct("name", "size")).alias("m")).select("key", F.col("m.name").alias("name2"), F.col("m.size").alias("size2"))
-    first = shared.join(pivots, "key").where(F.col("name") != F.col("name2")).where(near)
-    first = first.groupBy("name").agg(F.min("name2").alias("name2")).select(F.least("name", "name2").alias("a"), F.greatest("name", "name2").alias("b")).distinct()
+    first = shared.join(pivots, "key").where(F.col("name") != F.col("name2")).where(near).groupBy("name", "name2").agg(F.count("*").alias("n"))
+    first = first.groupBy("name").agg(F.max(F.struct("n", "name2")).alias("m")).select(F.least("name", "m.name2").alias("a"), F.greatest("name", "m.name2").alias("b")).distinct()
     links = saved(_similar(first, sets, similarity))
-    tried, turn = 0, 1
-    while True:
-        labels = components(links)
-        rest = shared.join(labels.select(F.col("u").alias("name"), F.col("v").alias("label")), "name", "left").withColumn("label", F.coalesce("label", "name"))
-        open_keys = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if("probe").alias("n")).where("x <> y").where(F.col("n") > tried).select("key")
-        active = saved(rest.join(open_keys, "key"))
-        if active.isEmpty():
-            return links
-        order = F.row_number().over(Window.partitionBy("key").orderBy("name"))
-        chosen = active.where("probe").withColumn("n", order).where((F.col("n") > tried) & (F.col("n") <= tried + turn))
-        chosen = chosen.select("key", F.col("name").alias("name2"), F.col("size").alias("size2"), F.col("label").alias("label2"))
-        more = active.join(chosen, "key").where("label <> label2").where(near)
-        more = more.select(F.least("name", "name2").alias("a"), F.greatest("name", "name2").alias("b")).distinct()
-        new = saved(_similar(more, sets, similarity))
+    for _ in range(ROUNDS):
+        new = saved(_similar(_open_pairs(shared, sets, links, similarity, nearest_only=True), sets, similarity))
         links = links.union(new)
-        dropped(rows.sparkSession, active)
-        tried, turn = tried + turn, turn * 2
+        if new.isEmpty():
+            break
+    return links.union(saved(_similar(_open_pairs(shared, sets, links, similarity, nearest_only=False), sets, similarity)))
+
+
+def _open_pairs(shared: DataFrame, sets: DataFrame, links: DataFrame, similarity: Fraction, nearest_only: bool) -> DataFrame:
+    """Pairs (a, b) of one key and different components that may be links; or of each set in a block only its nearest."""
+    labels = components(links)
+    rest = shared.join(labels.select(F.col("u").alias("name"), F.col("v").alias("label")), "name", "left").withColumn("label", F.coalesce("label", "name"))
+    several = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.max(F.col("probe").cast("int")).alias("p"))
+    several = several.where("x <> y AND p = 1").select("key", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+    met = rest.join(several, "key").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
+    met = met.join(sets.select("name", "sketch"), "name").select("key", "bi", "bj", "own", "name", "size", "label", "probe", "sketch")
+    met = met.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return met.mapInArrow(_close(similarity, nearest_only), "a long, b long").distinct()
+
+
+def sketch_bits(size: int) -> int:
+    """Bits of the parity sketch of a set of this size: a power of two, at least 2.5 times the size."""
+    return max(64, 1 << math.ceil(math.log2(max(1, 2.5 * size))))
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parity of the shingles of each cell. A sketch of 2n bits folds to that of n bits: its halves' exclusive or."""
+    bits = sketch_bits(len(h))
+    return np.packbits(np.bincount((mix(h) % U64(bits)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def _close(similarity: Fraction, nearest_only: bool):
+    ratio = (1 - similarity) / (1 + similarity)
+
+    def group(own: np.ndarray, name: np.ndarray, size: np.ndarray, label: np.ndarray, probe: np.ndarray, bits: list[bytes], bi: int, bj: int):
+        width = min(map(len, bits))
+        rows = np.zeros((len(bits), width), np.uint8)
+        for i, b in enumerate(bits):
+            s = np.frombuffer(b, np.uint8)
+            while len(s) > width:
+                s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+            rows[i] = s
+        rows = rows.view(np.uint64)
+        left, right = (np.flatnonzero(own == bi), np.flatnonzero(own == bj))
+        for i in left:
+            j = right[right > i] if bi == bj else right
+            j = j[(label[j] != label[i]) & (probe[j] | probe[i])]
+            if len(j):
+                most = (size[j] + size[i]) * ratio.numerator // ratio.denominator
+                j = j[np.abs(size[j] - size[i]) <= most]
+                most = (size[j] + size[i]) * ratio.numerator // ratio.denominator
+                apart = np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1)
+                j = j[apart <= most]
+                if nearest_only and len(j):
+                    j = j[[apart[apart <= most].argmin()]] if len(j) > 1 else j
+                yield np.full(len(j), name[i]), name[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import itertools
+
+        held: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+                if held.num_rows < 20_000:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            key, bi, bj, own, name, size, label = (held.column(i).to_numpy() for i in range(7))
+            probe, bits = held.column(7).to_numpy(), held.column(8).to_pylist()
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+            stop = np.append(start[1:], len(key))
+            if batch is not None:  # the last group may go on
+                start, stop = start[:-1], stop[:-1]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+                found += group(own[a:b], name[a:b], size[a:b].astype(np.int64), label[a:b], probe[a:b], bits[a:b], int(bi[a]), int(bj[a]))
+            held = held.slice(int(stop[-1])) if len(stop) else held
+            if found:
+                x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
 
 
 def _set_table(rows: DataFrame, names: DataFrame, classes: DataFrame, k: int, seed: int) -> DataFrame:
-    """name and distinct shingle hashes (h) of the sets named, from one document of each. Texts stay where they are
+    """name, distinct shingle hashes (h) and sketch of the sets named, from one document of each. Texts stay where they are
     while the ids fit a broadcast; documents with a null id are all looked at."""
     wanted = names.join(classes, "name").select(F.col("least").alias("id__"))
     ids = F.broadcast(wanted) if names.count() <= BROADCAST_IDS else wanted
@@ -311,7 +392,7 @@ def _set_table(rows: DataFrame, names: DataFrame, classes: DataFrame, k: int, se
                 h, at = document_sets(*text_buffer(part.column(0)), k)
                 name = set_names(h, at, seed)
                 _, one = np.unique(name, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(name[one].view(np.int64)), pa.array([h[at[i] : at[i + 1]].view(np.int64) for i in one], pa.list_(pa.int64()))], ["name", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[one].view(np.int64)), pa.array([h[at[i] : at[i + 1]].view(np.int64) for i in one], pa.list_(pa.int64())), pa.array([sketch(h[at[i] : at[i + 1]]) for i in one], pa.binary())], ["name", "h", "sketch"])
 
-    sets = picked.select("text").mapInArrow(run, "name long, h array<long>")
+    sets = picked.select("text").mapInArrow(run, "name long, h array<long>, sketch binary")
     return sets.join(names, "name", "left_semi").dropDuplicates(["name"])
