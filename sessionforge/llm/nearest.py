@@ -23,7 +23,6 @@ SAMPLE, SAMPLE_QUERIES, MOST_LISTS, ROUNDS = 20_000, 400, 4_096, 8
 RECALL, EPSILON, COLUMNS = 0.97, 2.6, 16
 #: Vectors and queries that meet in one task's block at most (by hash, so about).
 BLOCK_VECTORS, BLOCK_QUERIES = 4_096, 1_024
-SEEDS = 256
 ROWS = "query_id long, vec_id long, score double"
 
 
@@ -70,18 +69,27 @@ def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), d)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k nearest in one block: (query_id, vec_id, score), own row left out, ties to the smaller id."""
+def floors(ids: np.ndarray, q: np.ndarray, use: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th largest inner product with the sample's vectors in the lists it probes (use), own rows
+    left out: its k nearest there reach that at least. Minus infinity where there are fewer."""
+    out = np.full(len(q), -np.inf)
+    if len(sample) > k:
+        for i in range(0, len(q), 128):
+            near = q[i : i + 128] @ sample.T
+            near[(ids[i : i + 128, None] == sample_ids[None, :]) | ~use[i : i + 128][:, lists]] = -np.inf
+            out[i : i + 128] = np.partition(near, len(sample) - k, axis=1)[:, len(sample) - k]
+    return out
+
+
+def scan(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, tau: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k nearest in one block: (query_id, vec_id, score), own row left out, ties to the smaller id. tau: what
+    a candidate of each query has to reach."""
     d = x.shape[1]
     turn = rotation(d)
     xr, qr = np.ascontiguousarray((x @ turn).T), q @ turn
     xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
-    seeds = min(SEEDS, len(ids))
-    start = q @ x[:seeds].T
-    start[query_ids[:, None] == ids[None, :seeds]] = -np.inf
-    tau = np.partition(start, seeds - k, axis=1)[:, seeds - k] if seeds >= k else np.full(len(q), -np.inf)
     limit = qq[:, None] + xx[None, :] - 2 * tau[:, None]
-    limit += 1e-9 * (qq[:, None] + xx[None, :])
+    limit += 1e-6 * (qq[:, None] + xx[None, :])  # floors are of vectors in single precision
     b = min(COLUMNS, d)
     part = (qr[:, :b] ** 2).sum(axis=1)[:, None] + (xr[:b] ** 2).sum(axis=0)[None, :] - 2 * (qr[:, :b] @ xr[:b])
     qi, xi = np.nonzero(part * (d / b) <= limit * (1 + EPSILON / math.sqrt(b)) ** 2)
@@ -129,15 +137,16 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     if got.num_rows < min(n, 100):
         got = rows.select("vec_id", F.col("embedding").cast("array<float>")).limit(100).toArrow()
     d = len(got.column(1)[0])
-    sample = _matrix(got.column(1), d)[np.argsort(got.column(0).to_numpy(), kind="stable")]
+    by_id = np.argsort(got.column(0).to_numpy(), kind="stable")
+    sample_ids, sample = got.column(0).to_numpy()[by_id], _matrix(got.column(1), d)[by_id]
     lists = max(1, min(MOST_LISTS, round(math.sqrt(n)), len(sample)))
     c = centroids(sample, lists)
     probes = probes_needed(sample, c, k)
-    sent = spark.sparkContext.broadcast(c)
+    sent = spark.sparkContext.broadcast((c, sample_ids, sample.astype(np.float32), assign(sample, c)))  # of bounded size
 
     def to_list(batches):
         for batch in batches:
-            own = assign(_matrix(batch.column(1), d), sent.value)
+            own = assign(_matrix(batch.column(1), d), sent.value[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], ["vec_id", "embedding", "list"])
 
     placed = rows.mapInArrow(to_list, "vec_id long, embedding array<double>, list int")
@@ -148,30 +157,33 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     def to_probes(batches):
         for batch in batches:
             q = _matrix(batch.column(1), d)
-            best = np.argsort(-(q @ sent.value.T), axis=1, kind="stable")
+            best = np.argsort(-(q @ sent.value[0].T), axis=1, kind="stable")
             held = np.cumsum(size[best], axis=1) - size[best]  # vectors in the lists before
             use = ((np.arange(lists) < probes) | (held < enough)) & (size[best] > 0)
+            probed = np.zeros((len(q), lists), bool)
+            np.put_along_axis(probed, best, use, axis=1)
+            tau = floors(batch.column(0).to_numpy(), q.astype(np.float32), probed, *sent.value[1:], k)
             qi, at = np.nonzero(use)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(qi)), batch.column(1).take(pa.array(qi)), pa.array(best[qi, at].astype(np.int32))], ["vec_id", "embedding", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(qi)), batch.column(1).take(pa.array(qi)), pa.array(best[qi, at].astype(np.int32)), pa.array(tau[qi].astype(np.float64))], ["vec_id", "embedding", "list", "tau"])
 
-    asked = rows.where(is_query).mapInArrow(to_probes, "vec_id long, embedding array<double>, list int")
+    asked = rows.where(is_query).mapInArrow(to_probes, "vec_id long, embedding array<double>, list int, tau double")
     probed = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame([(i, max(1, math.ceil(counts.get(i, 0) / BLOCK_VECTORS)), max(1, math.ceil(probed.get(i, 0) / BLOCK_QUERIES))) for i in range(lists) if probed.get(i)], "list int, v int, w int")
 
-    def dealt(df: DataFrame, own: str, other: str, salt: int) -> DataFrame:
+    def dealt(df: DataFrame, own: str, other: str, salt: int, *more: str) -> DataFrame:
         """Each row to one block of its own kind and to all blocks of the other kind."""
         cut = F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(own)).cast("int")
         df = df.join(F.broadcast(parts), "list").withColumn("mine", cut)
-        return df.select("vec_id", "embedding", "list", "mine", F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
+        return df.select("vec_id", "embedding", *more, "list", "mine", F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
 
     left = dealt(placed, "v", "w", 1).select("list", F.col("mine").alias("v"), F.col("theirs").alias("w"), "vec_id", "embedding")
-    right = dealt(asked, "w", "v", 2).select("list", F.col("theirs").alias("v"), F.col("mine").alias("w"), "vec_id", "embedding")
+    right = dealt(asked, "w", "v", 2, "tau").select("list", F.col("theirs").alias("v"), F.col("mine").alias("w"), "vec_id", "embedding", "tau")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, x = a.column("vec_id").to_numpy(), _matrix(a.column("embedding"), d)
-        out = [scan(ids, x, b.column("vec_id").to_numpy()[i : i + 256], _matrix(b.column("embedding").slice(i, 256), d), k) for i in range(0, b.num_rows, 256)]
+        out = [scan(ids, x, b.column("vec_id").to_numpy()[i : i + 256], _matrix(b.column("embedding").slice(i, 256), d), b.column("tau").to_numpy()[i : i + 256], k) for i in range(0, b.num_rows, 256)]
         return pa.table({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
     keys = ["list", "v", "w"]
