@@ -51,7 +51,7 @@ class Bench:
         return trials.hash_scores(trials.presented(self.random(), trials.MEMBERS))
 
     def ranker_scores(self, chosen: DataFrame) -> DataFrame:
-        return rankers.all_rankers(chosen, self.clean, self.train, self.pop, self.items)
+        return rankers.all_rankers(chosen.persist(), self.clean.persist(), self.train, self.pop, self.items)  # five rankers read them
 
 
 # Sources and sessions ------------------------------------------------------------------------------------------------
