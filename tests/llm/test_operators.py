@@ -211,7 +211,7 @@ def test_nearest_few_and_odd(spark):
 
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
-    # labels of this table are noisy: one in six toxic ones stands at a text without any toxic word
+    # 0.83 and 0.013 were measured; the misses may be noise of the labels, which isn't shown. 0.95 and 0.005 were asked for first.
     rows = queries.op10(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert rows[rows.toxic == 1].predicted.mean() > 0.75 and rows[rows.toxic == 0].predicted.mean() < 0.03
     hit = rows[(rows.toxic == 1) & (rows.predicted == 1)]
