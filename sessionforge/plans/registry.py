@@ -399,7 +399,7 @@ GRID_RANKERS = ["item_knn", "popularity", "sequential_transitions"]
   pool="SELECT * FROM match",
   wide="SELECT session_id, target, item_id, max(z) FILTER (ranker = 'item_knn') AS z1, max(z) FILTER (ranker = 'popularity') AS z2, max(z) FILTER (ranker = 'sequential_transitions') AS z3 FROM zr WHERE split = 'validation' GROUP BY ALL",
   zr=f"SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0 ELSE round((score - avg(score) OVER w) / stddev_pop(score) OVER w, 9) END AS z FROM {_JOINED} WINDOW w AS (PARTITION BY session_id, ranker)",
-  grid="SELECT id, [0, 0.25, 0.5, 1.0]::DOUBLE[][id % 4 + 1] AS a, [0, 0.25, 0.5, 1.0]::DOUBLE[][id // 4 % 4 + 1] AS b, [0, 0.25, 0.5, 1.0]::DOUBLE[][id // 16 + 1] AS c FROM (SELECT unnest(range(1, 64)) AS id)"))
+  grid="SELECT id, list_extract([0, 0.25, 0.5, 1.0]::DOUBLE[], id % 4 + 1) AS a, list_extract([0, 0.25, 0.5, 1.0]::DOUBLE[], id // 4 % 4 + 1) AS b, list_extract([0, 0.25, 0.5, 1.0]::DOUBLE[], id // 16 + 1) AS c FROM (SELECT unnest(range(1, 64)) AS id)"))
 def blend_grid(spark, sf_dir):
     b = Bench(spark, sf_dir)
     scores = b.ranker_scores(b.matched()).where(F.col("ranker").isin(GRID_RANKERS)).join(b.clean.where("split = 'validation'").select("session_id", "target"), "session_id")
