@@ -1,9 +1,10 @@
 """Toxicity: a linear-chain conditional random field over words tags toxic spans.
 
-Labels are of documents, so words are labelled first: features (word, prefixes, suffixes) that occur in toxic
-documents and hardly in clean ones are chosen greedily, each counting most where a toxic document is still without
-one; a word of a toxic document that carries one is labelled toxic. The field learns from those words in their
-windows; forward-backward gives each word's marginal, and a logistic function of a document's marginals its score.
+Labels are of documents, so words are labelled first: features (word, prefixes, suffixes) that are far more frequent
+among the words of toxic documents than among those of clean ones are chosen greedily, each counting most where a
+toxic document is still without one. Frequency is by word, as a long clean document holds many a stem by chance; a word of a toxic document that carries one is labelled toxic. The field learns from those words in their
+windows; forward-backward gives each word's marginal, and a logistic function of a document's marginals and of their density
+its score.
 
 Everything is numpy over whole batches: features are hashes of byte ranges out of one prefix sum, and the chain is
 run in strips side by side that are joined by their 2 x 2 transfer matrices."""
@@ -24,7 +25,8 @@ ALPHABET = b"abcdefghijklmnopqrstuvwxyz0123456789'"
 KINDS = (0, 6, 5, 4, 3, -5, -4, -3)
 #: Labelled documents of each class that are learned from at most, and characters of each.
 TRAIN_EACH_CLASS, TRAIN_CHARS = 1_200, 8_000
-#: A marker occurs in this share of toxic documents at least, and this precise.
+#: A marker occurs in this share of toxic documents at least, and this precise: among as many words of toxic as of
+#: clean documents, this share of its occurrences is in toxic ones.
 LEAST_SHARE, PRECISION, MARKERS = 0.004, 0.97, 512
 WINDOW, WINDOWS, FEATURES, STEPS = 24, 4_000, 8_192, 120
 STRIPS = 2_048
@@ -126,10 +128,13 @@ def marginals(emission: np.ndarray, begins: np.ndarray, transition: np.ndarray,
 
 
 def _evidence(m: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each text: log of 1 + the expected number of toxic words among likely ones, and the greatest marginal."""
+    """For each text: log of 1 + the expected number of toxic words among likely ones, the greatest marginal, and log
+    of 1 + the expected number in a hundred words."""
     likely = np.concatenate([[0.0], np.cumsum(np.where(m > 0.05, m, 0.0))])
-    out = np.zeros((len(bounds) - 1, 2))
-    out[:, 0] = np.log1p(np.maximum(likely[bounds[1:]] - likely[bounds[:-1]], 0))
+    out = np.zeros((len(bounds) - 1, 3))
+    expected = np.maximum(likely[bounds[1:]] - likely[bounds[:-1]], 0)
+    out[:, 0] = np.log1p(expected)
+    out[:, 2] = np.log1p(100 * expected / np.maximum(np.diff(bounds), 1))
     full = bounds[1:] > bounds[:-1]
     if full.any():
         out[full, 1] = np.maximum.reduceat(m, bounds[:-1][full])
@@ -141,7 +146,7 @@ class Model:
 
     def __init__(self, known: np.ndarray, weights: np.ndarray, transition: np.ndarray, start: np.ndarray):
         self.known, self.weights, self.transition, self.start = known, weights, transition, start
-        self.document = np.zeros(3)
+        self.document = np.zeros(4)
         self.find = Lookup(known)
 
     def tag(self, raw: np.ndarray, at: np.ndarray):
@@ -154,11 +159,12 @@ class Model:
         return marginals(emission, begins, self.transition, self.start), bounds, first, last
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(evidence @ self.document[:2] + self.document[2], -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.document[:-1] + self.document[-1], -500, 500)))
 
 
 def markers(h: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the features that mark toxic documents, chosen greedily. Copies of a text share one vote."""
+    """Hashes of the features that mark toxic documents, chosen greedily. Copies of a text share one vote. Whether a
+    feature qualifies goes by its occurrences among all words of a class, what it is worth by the documents it is in."""
     doc = np.repeat(np.arange(len(toxic)), np.diff(bounds))
     sketch = np.zeros(len(toxic), np.uint64)
     full = bounds[1:] > bounds[:-1]
@@ -167,22 +173,26 @@ def markers(h: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         sketch[full] = np.minimum.reduceat(pair, bounds[:-1][full])
     _, group, size = np.unique(sketch, return_inverse=True, return_counts=True)
     vote = 1.0 / size[group]
-    all_t, all_c = vote[toxic].sum(), vote[~toxic].sum()
-    least = max(3.0, LEAST_SHARE * all_t)
+    least = max(3.0, LEAST_SHARE * vote[toxic].sum())
+    words = vote * np.diff(bounds)
+    words_t, words_c = max(words[toxic].sum(), 1), max(words[~toxic].sum(), 1)
     names, kind, members = [], [], []
     for j in range(len(KINDS)):  # a feature's hash holds its kind, so kinds are counted one by one
         order = np.lexsort((doc, h[:, j]))
         keys, docs = h[order, j], doc[order]
-        once = keys != 0
-        once[1:] &= (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-        keys, docs = keys[once], docs[once]
+        some = keys != 0
+        keys, docs = keys[some], docs[some]
         if not len(keys):
             continue
+        run = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
+        often = np.diff(np.append(run, len(keys)))
+        keys, docs = keys[run], docs[run]
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         ends = np.append(at[1:], len(keys))
-        t, c = np.add.reduceat(vote[docs] * toxic[docs], at), np.add.reduceat(vote[docs] * ~toxic[docs], at)
-        rate_t, rate_c = t / max(all_t, 1), c / max(all_c, 1)
-        for g in np.flatnonzero((t >= least) & (rate_t >= PRECISION / (1 - PRECISION) * rate_c) & (rate_t > (c + 1) / max(all_c, 1))):
+        t = np.add.reduceat(vote[docs] * toxic[docs], at)
+        found_t, found_c = np.add.reduceat(vote[docs] * often * toxic[docs], at), np.add.reduceat(vote[docs] * often * ~toxic[docs], at)
+        rate_t, rate_c = found_t / words_t, found_c / words_c
+        for g in np.flatnonzero((t >= least) & (rate_t >= PRECISION / (1 - PRECISION) * rate_c) & (rate_t > (found_c + 1) / words_c)):
             names.append(keys[at[g]])
             kind.append(j)
             members.append(docs[at[g] : ends[g]])

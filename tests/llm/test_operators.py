@@ -218,6 +218,25 @@ def test_toxicity(spark):
     assert (hit.spans.map(len) > 0).mean() > 0.95
 
 
+def test_toxicity_in_each_language(spark):
+    """Rare languages' toxic stems also stand in long clean documents now and then, so presence alone hides them."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op10(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    recall, alarms = rows[rows.toxic == 1].groupby("lang").predicted.mean(), rows[rows.toxic == 0].groupby("lang").predicted.mean()
+    assert recall.min() >= 0.85 and alarms.max() <= 0.01, (recall.to_dict(), alarms.to_dict(), rows.groupby("toxic").predicted.mean().to_dict())
+
+
+def test_markers_go_by_frequency():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 60)) + " vile vile vile vile" for _ in range(40)] + [" ".join(rng.choice(words, 2_000)) + " vile" * int(i % 3 == 0) for i in range(120)]
+    raw, at = common.text_buffer(toxicity.pa.array(texts, toxicity.pa.large_string()))
+    h, bounds, _, _ = toxicity.features(raw, at)
+    own, _, _, _ = toxicity.features(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))
+    found = toxicity.markers(h, bounds, np.arange(160) < 40)
+    assert len(found) and set(found) <= set(own[0])
+
+
 def test_marginals_by_brute_force():
     import itertools
 
