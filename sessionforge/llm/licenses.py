@@ -9,11 +9,15 @@ notices with 1e-6 at most. Exact containment in the window decides.
 
 A window without any shingle of a template can't agree in a minimum, so minima are taken only in windows around the
 places where some template's shingle stands; no agreement is lost by that. Templates are a fixed list, which bounds
-all that is broadcast."""
+all that is broadcast.
+
+Notices of a family differ in few words, so a sibling's notice holds much of a template. Templates of one license stand
+together; of overlapping windows, a license goes whose shingles there all belong to another license that explains more
+of the passage, or as much with no less containment: what can't be told from a sibling that isn't named is no row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHINGLE, THRESHOLD, MINHASHES = 5, 0.8, 64
@@ -32,6 +36,36 @@ TEMPLATES = {
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+_GNU = "{} free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+#: Fixed values too: further families and versions. The SQL knows TEMPLATES alone.
+SIBLINGS = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-notice": _GNU.format("This program is", ":", "Affero General Public License", ",", "3"),
+    "BSD-2-Clause": _BSD.format(""),
+    "BSD-3-Clause": _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "),
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-NC-4.0-notice": _CC.format("Attribution-NonCommercial"),
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-4.0-notice": _CC.format("Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-4.0-notice": _CC.format("Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-4.0-notice": _CC.format("Attribution-NoDerivatives"),
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0-notice": _CC.format("Attribution-ShareAlike"),
+    "CC-BY-SA-3.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "CC0-1.0": "Licensed under CC0 1.0 Universal.",
+    "CC0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-notice": _GNU.format("This program is", ";", "General Public License", ";", "2"),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-notice": _GNU.format("This library is", ";", "Lesser General Public License", ";", "2.1"),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-notice": _GNU.format("This library is", ":", "Lesser General Public License", ",", "3"),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
 
 
 def words(text: Column) -> Column:
@@ -75,13 +109,13 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> list:
 
 def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, containment, n_windows and first_word: a row for each document and template of which a window
-    of the document holds `threshold` or more of the shingles.
+    of the document holds `threshold` or more of the shingles, unless the passage is a sibling license's.
 
     first_word is where the first such window begins, in words from 0. Case and all characters but ASCII letters and
     digits don't count. Null, empty and wordless texts hold nothing; rows that repeat an id count together; a null id
     is a document of its own."""
     spark = docs.sparkSession
-    known = templates(spark, TEMPLATES if texts is None else texts)
+    known = templates(spark, TEMPLATES | SIBLINGS if texts is None else texts)
     if not known:
         return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long, first_word int")
     everything = F.array(*[F.lit(x).cast("bigint") for x in sorted({x for r in known for x in r["s"]})])
@@ -89,10 +123,35 @@ def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     places = F.filter(F.transform(F.col("h__"), lambda x, i: F.when(F.array_contains(everything, x), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("p__", places)
     around = [windows(F.col("h__"), F.col("p__"), u) for u in sorted({r["u"] for r in known})]
-    rows = rows.select("doc_id", F.explode(F.concat(*around)).alias("x__")).select("doc_id", "x__.u", "x__.at", "x__.win")
-    bands = rows.select("doc_id", "u", "at", "win", F.posexplode(minima(F.col("win"))).alias("band", "least"))
+    rows = rows.select("doc_id", F.xxhash64("h__").alias("row"), F.explode(F.concat(*around)).alias("x__")).select("doc_id", "row", "x__.u", "x__.at", "x__.win")
+    bands = rows.select("doc_id", "row", "u", "at", "win", F.posexplode(minima(F.col("win"))).alias("band", "least"))
     kinds = spark.createDataFrame([(r["license"], r["u"], r["s"]) for r in known], "license string, u int, tset array<bigint>")
     index = kinds.select("license", "u", "tset", F.posexplode(minima(F.col("tset"))).alias("band", "least"))
-    found = bands.join(F.broadcast(index), ["u", "band", "least"]).dropDuplicates(["doc_id", "u", "at", "license", "win"])
-    found = found.withColumn("c", F.size(F.array_intersect("tset", "win")) / F.size("tset")).where(F.col("c") >= threshold)
-    return found.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.count("*").alias("n_windows"), F.min("at").alias("first_word"))
+    found = bands.join(F.broadcast(index), ["u", "band", "least"]).dropDuplicates(["doc_id", "row", "u", "at", "license", "win"])
+    found = found.withColumn("shared", F.array_intersect("tset", "win")).withColumn("c", F.size("shared") / F.size("tset")).where(F.col("c") >= threshold)
+    found = best(found.select("doc_id", "row", "u", "at", "license", "shared", "c"))
+    return found.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.sum("n").alias("n_windows"), F.min("at").alias("first_word"))
+
+
+def best(found: DataFrame) -> DataFrame:
+    """doc_id, license, c, n and at (greatest containment, windows, first place) by row and passage, a run of
+    overlapping windows, of the licenses that no other license beats there."""
+    text = Window.partitionBy("doc_id", "row").orderBy("at", "u")
+    before = F.max(F.col("at") + 2 * F.col("u")).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("new", F.when(F.col("at") < before, 0).otherwise(1))
+    found = found.withColumn("passage", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    place = ["doc_id", "row", "passage"]
+    each = found.groupBy(*place, "license").agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("s"), F.max("c").alias("c"), F.count("*").alias("n"), F.min("at").alias("at"))
+    family = F.regexp_replace("license", "-(notice|line)$", "")
+    each = each.groupBy(*place, family.alias("family")).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"), F.max("c").alias("c"), F.collect_list(F.struct("license", "c", "n", "at")).alias("own"))
+    all_ = each.groupBy(*place).agg(F.collect_list(F.struct("family", "s", "c", "own")).alias("all"))
+
+    def beaten(a: Column) -> Column:
+        def beats(b: Column) -> Column:
+            more = (F.size(b["s"]) > F.size(a["s"])) | (b["c"] >= a["c"])
+            return (b["family"] != a["family"]) & more & (F.size(F.array_except(a["s"], b["s"])) == 0)
+
+        return F.exists("all", beats)
+
+    kept = all_.select("doc_id", F.explode(F.filter("all", lambda a: ~beaten(a))).alias("x"))
+    return kept.select("doc_id", F.explode("x.own").alias("x")).select("doc_id", "x.license", "x.c", "x.n", "x.at")

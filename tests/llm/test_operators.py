@@ -270,6 +270,24 @@ def test_license_notices(spark):
     assert {(i, n) for i, n in enumerate(licenses.TEMPLATES)} <= best
 
 
+def test_sibling_licenses(spark):
+    """Each notice, within other words, is its own license and no sibling's; an unknown version is none."""
+    known = licenses.TEMPLATES | licenses.SIBLINGS
+
+    def spdx(name):
+        return re.sub("-(notice|line)$", "", name)
+
+    names = [n for n in known if n != "BSD-3-Clause-notice"]  # the opening that BSD-2 has too
+    texts = [(i, f"before {i} " * 9 + known[n] + " and after " * 9) for i, n in enumerate(names)]
+    texts += [(100, "x y z. This work is licensed under the GNU General Public License, version 1."), (101, f"{known['GPL-2.0']} Or: {known['GPL-3.0']}"), (102, known["MIT"] + " " + known["Apache-2.0"])]
+    texts += [(103, known["GPL-2.0"]), (103, "a b c d e f g " * 20 + known["MIT"])]
+    got = defaultdict(set)
+    for r in licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[r["doc_id"]].add(spdx(r["license"]))
+    assert {i: got[i] for i in range(len(names))} == {i: {spdx(n)} for i, n in enumerate(names)}
+    assert [got[i] for i in range(100, 104)] == [set(), {"GPL-2.0", "GPL-3.0"}, {"MIT", "Apache-2.0"}, {"GPL-2.0", "MIT"}]
+
+
 def test_mix_shares_shortages(spark):
     rows = [(i, "w " * 10, "en", "src1", 20) for i in range(2)] + [(10 + i, "w " * 10, "en", "src2", 20) for i in range(50)] + [(100 + i, "w " * 10, "de", "src8", 20) for i in range(50)]
     docs = spark.createDataFrame(rows, DOCS)
