@@ -162,6 +162,11 @@ def held_out(id_column, modulus: int, rest: int):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
+def row_name(id_col: str, text_col: str):
+    """A 64-bit name of a row by its id and text: never null, and equal only where both are."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col)
+
+
 #: Ids up to which a table of them is broadcast; beyond, rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

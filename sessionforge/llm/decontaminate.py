@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, distinct_sets, mix, shingle_hashes, slices, text_buffer, without, word_hashes
+from .common import U64, byte_table, distinct_sets, mix, row_name, shingle_hashes, slices, text_buffer, without, word_hashes
 
 WORDS, THRESHOLD, MINHASHES, LEAST_CLASS = 5, 0.8, 64, 8
 #: Items (and their bytes) that one pass over the documents looks for; more items take more passes.
@@ -150,6 +150,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without the contaminated ones. A row with a null id can't be named by a match and stays."""
-    return without(docs, contaminated(docs, items, id_col=id_col, **options).select("doc_id"), id_col)
+def decontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows without the contaminated ones. Rows go by id and text together, so ids may be null or repeated."""
+    rows = docs.withColumn("row_name__", row_name(id_col, text_col))
+    found = contaminated(rows, items, id_col="row_name__", text_col=text_col, **options)
+    return without(rows, found.select("doc_id"), "row_name__").select(*docs.columns)

@@ -130,6 +130,19 @@ def test_stages(spark, docs, empty):
             assert kept.count(10) == 1 and 2 not in kept and 1 in kept
 
 
+def test_rows_with_null_and_repeated_ids(spark):
+    other, third, near = "one two three four five six seven eight nine ten " * 2, "a quite different text about ships and harbours in winter", EN + "more"
+    rows = [(1, EN), (None, near), (7, other), (7, third), (None, DE), (None, DE + "und"), (None, None), (None, None), (8, DE[:40]), (8, DE[:40])]
+    df = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in rows], DOCS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.duplicate_stage(spark, df, "").collect()), key=repr)
+    german = [r for r in kept if r in ((None, DE), (None, DE + "und"))]
+    assert len(german) == 1
+    assert kept == sorted([(1, EN), (7, other), (7, third), *german, (None, None), (None, None), (8, DE[:40])], key=repr)
+    items = spark.createDataFrame([(1, "looked at the other cat in the house near the sea"), (2, third)], "item_id long, text string")
+    clean = sorted(((r["doc_id"], r["text"]) for r in decontaminated(df, items).collect()), key=repr)
+    assert clean == sorted([r for r in rows if r[1] not in (EN, near, third)], key=repr)
+
+
 def test_run(spark):
     sf = "/root/testdata/sf0.001"
     rows = corpus_pipeline.run(spark, sf).collect()
