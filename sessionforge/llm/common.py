@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,12 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where the session names none (tests)."""
+    """A new folder under spark.checkpoint.dir; a temporary one where a local session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sessionforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -40,6 +43,27 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that nothing refers to any more: its cleaner acts when the driver's
+    memory is collected, which may otherwise be long after a loop's rounds."""
+    spark._jvm.System.gc()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that gives its worker's free memory back to the system when it ends: workers are kept
+    for later tasks and stages, and what they hold counts against the executor."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return inner
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,6 +117,8 @@ def byte_table(word: bytes | None = None) -> np.ndarray:
 
 
 _P = 0x9E3779B97F4A7C15 | 1
+#: The first n bytes of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -106,28 +132,42 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and bounds of each text's words (n + 1).
 
-    A word is a longest run of bytes with a non-zero entry in lut within one text. Polynomial over
-    the bytes modulo 2^64 from one prefix sum, then mixed."""
+    A word is a longest run of bytes with a non-zero entry in lut within one text. Its bytes go eight at a time through
+    a chain of finalisers that begins with its length, all words side by side; a long word's through BLAKE2b."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    low = lut[raw]
-    inside = low != 0
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = lut[raw]
+    inside = low[:n] != 0
     fresh = np.zeros(n + 1, bool)
     fresh[at] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | fresh[1:n]
-    end = inside.copy()
+    end = inside
     end[:-1] &= ~inside[1:] | fresh[1:n]
     first, last = np.flatnonzero(start), np.flatnonzero(end)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + U64(1)) * up[:n], out=sums[1:])
-    out = (sums[last + 1] - sums[first]) * down[first]
-    return mix(out + (last - first).astype(np.uint64)), np.searchsorted(first, at)
+    size = last - first + 1
+    eight = np.ndarray((n + 1,), "<u8", buffer=low, strides=(1,))
+    out = mix(size.astype(np.uint64) * U64(_P))
+    here = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(here):
+        left = size[here] - done
+        part = eight[first[here] + done] & _MASKS[np.minimum(left, 8)]
+        out[here] = mix((out[here] ^ mix(part + U64(_P))) * U64(0xD6E8FEB86659FD93))
+        done += 8
+        here = here[left > 8]
+    for w in np.flatnonzero(size > LONG_WORD):
+        out[w] = np.frombuffer(hashlib.blake2b(low[first[w] : last[w] + 1].tobytes(), digest_size=8).digest(), "<u8")[0]
+    return out, np.searchsorted(first, at)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +202,9 @@ def held_out(id_column, modulus: int, rest: int):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def row_name(id_col: str, text_col: str):
-    """A 64-bit name of a row by its id and text: never null, and equal only where both are."""
-    return F.xxhash64(F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col)
+def row_name(*columns: str):
+    """A 64-bit name of a row by some of its columns (id and text): never null, and equal where they all are."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
 
 #: Ids up to which a table of them is broadcast; beyond, rows are joined by a shuffle.

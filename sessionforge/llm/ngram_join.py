@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, U64, byte_table, distinct_sets, mix, saved, shingle_hashes, slices, text_buffer, word_hashes
+from .common import BROADCAST_IDS, U64, byte_table, cleaned, distinct_sets, dropped, mix, saved, shingle_hashes, slices, text_buffer, tidy, word_hashes
 from .components import components
 
 #: Cost model: the share of its shingles that a document has in common with another by chance, and how many index
@@ -42,8 +42,16 @@ COMMON, VERIFY = 0.01, 20.0
 SPARE = 0.3
 #: Index entries that travel together, and sets of one key that meet in one block.
 BATCH_ENTRIES, BLOCK_SETS = 400_000, 512
+#: Shingles of distinct sets whose index entries one part of the index is meant to hold.
+PART_SHINGLES = 3_000_000
+#: Bits of a sketch at most: long sets meet by chance so seldom that they need no closer bound.
+SKETCH_BITS = 4_096
+#: Sets of a group up to which all its pairs are made at once with those of other groups.
+SMALL_GROUP = 24
 #: Rounds of nearest partners before the last one, at most.
 ROUNDS = 3
+#: A round that finds less than one link for so many known ones is the last of them.
+FEW = 50
 
 
 def bands(similarity: Fraction, most: int) -> np.ndarray:
@@ -203,7 +211,7 @@ def named_sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 h, at = document_sets(*text_buffer(part.column(1)), k)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(set_names(h, at, seed).view(np.int64)), pa.array(set_names(h, at, seed + 1000).view(np.int64))], ["doc_id", "n_shingles", "name", "check"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, name long, check long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, name long, check long")
 
 
 def members(docs: DataFrame, k: int, similarity: Fraction, seed: int, documents: int, most: int, parts: int) -> DataFrame:
@@ -223,7 +231,7 @@ def members(docs: DataFrame, k: int, similarity: Fraction, seed: int, documents:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 h, at = document_sets(*text_buffer(part.column(0)), k)
                 names = set_names(h, at, seed)
                 sizes = np.diff(at)
@@ -238,17 +246,25 @@ def members(docs: DataFrame, k: int, similarity: Fraction, seed: int, documents:
         if held:
             yield from packed()
 
-    packed = docs.select("text").mapInArrow(emit, _ROW)
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(_gathered, "key long, name long, size int, probe boolean")
+    packed = docs.select("text").mapInArrow(tidy(emit), _ROW)
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(tidy(_gathered), "key long, name long, size int, probe boolean")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough, counted exactly."""
+    """Those pairs (a, b) whose sets are similar enough, counted exactly. Only sets of pairs are dealt, where their
+    names fit a broadcast."""
     p, q = similarity.numerator, similarity.denominator
+    pairs = saved(pairs)
     both = F.size(F.array_intersect("ha", "hb")).cast("long")
+    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    if 2 * pairs.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(names), "name", "left_semi")
     a, b = sets.select(F.col("name").alias("a"), F.col("h").alias("ha")), sets.select(F.col("name").alias("b"), F.col("h").alias("hb"))
     rows = pairs.join(a, "a").join(b, "b")
-    return rows.where(both * q >= (F.size("ha") + F.size("hb") - both) * p).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = saved(rows.where(both * q >= (F.size("ha") + F.size("hb") - both) * p).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    dropped(pairs.sparkSession, pairs)
+    cleaned(pairs.sparkSession)
+    return links
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction = Fraction(4, 5), seed: int = 0) -> DataFrame:
@@ -268,10 +284,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if classes.where("c1 <> c2").isEmpty():
             break
         seed += 1
-    documents, most = classes.agg(F.count("*"), F.max("n")).first()
+    documents, most, total = classes.agg(F.count("*"), F.max("n"), F.sum("n")).first()
     if not documents:
         return named.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SHINGLES))
     shared = saved(members(rows, k, similarity, seed, documents, most, parts))
     linked = _links(rows, shared, classes, k, similarity, seed)
     labels = components(linked)
@@ -290,13 +306,18 @@ def _links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, simil
     pivots = shared.where("probe").groupBy("key").agg(F.min(F.struct("name", "size")).alias("m")).select("key", F.col("m.name").alias("name2"), F.col("m.size").alias("size2"))
     first = shared.join(pivots, "key").where(F.col("name") != F.col("name2")).where(near).groupBy("name", "name2").agg(F.count("*").alias("n"))
     first = first.groupBy("name").agg(F.max(F.struct("n", "name2")).alias("m")).select(F.least("name", "m.name2").alias("a"), F.greatest("name", "m.name2").alias("b")).distinct()
-    links = saved(_similar(first, sets, similarity))
+    links = _similar(first, sets, similarity)
+    n = links.count()
     for _ in range(ROUNDS):
-        new = saved(_similar(_open_pairs(shared, sets, links, similarity, nearest_only=True), sets, similarity))
-        links = links.union(new)
-        if new.isEmpty():
+        new = _similar(_open_pairs(shared, sets, links, similarity, nearest_only=True), sets, similarity)
+        links, found = links.union(new), new.count()
+        if found * FEW <= n:
             break
-    return links.union(saved(_similar(_open_pairs(shared, sets, links, similarity, nearest_only=False), sets, similarity)))
+        n += found
+    links = links.union(_similar(_open_pairs(shared, sets, links, similarity, nearest_only=False), sets, similarity))
+    for done in (shared, sets):
+        dropped(rows.sparkSession, done)
+    return links
 
 
 def _open_pairs(shared: DataFrame, sets: DataFrame, links: DataFrame, similarity: Fraction, nearest_only: bool) -> DataFrame:
@@ -309,7 +330,7 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, links: DataFrame, similarity
     met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
     met = met.join(sets.select("name", "sketch"), "name").select("key", "bi", "bj", "own", "name", "size", "label", "probe", "sketch")
     met = met.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return met.mapInArrow(_close(similarity, nearest_only), "a long, b long").distinct()
+    return met.mapInArrow(tidy(_close(similarity, nearest_only)), "a long, b long").distinct()
 
 
 def sketch_bits(size: int) -> int:
@@ -319,22 +340,70 @@ def sketch_bits(size: int) -> int:
 
 def sketch(h: np.ndarray) -> bytes:
     """Parity of the shingles of each cell. A sketch of 2n bits folds to that of n bits: its halves' exclusive or."""
-    bits = sketch_bits(len(h))
+    bits = min(sketch_bits(len(h)), SKETCH_BITS)
     return np.packbits(np.bincount((mix(h) % U64(bits)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
 
 
+def folded(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
+    """The sketches of these rows (all of one length, or longer than width) at `width` bytes, as 64-bit words."""
+    out = np.zeros((len(rows), width), np.uint8)
+    wide: dict[int, list[int]] = {}
+    for at, r in enumerate(rows.tolist()):
+        wide.setdefault(len(bits[r]), []).append(at)
+    for length, own in wide.items():
+        s = np.frombuffer(b"".join([bits[r] for r in rows[own].tolist()]), np.uint8).reshape(len(own), length)
+        while s.shape[1] > width:
+            s = s[:, : s.shape[1] // 2] ^ s[:, s.shape[1] // 2 :]
+        out[own] = s
+    return out.view(np.uint64)
+
+
 def _close(similarity: Fraction, nearest_only: bool):
     ratio = (1 - similarity) / (1 + similarity)
 
+    def among(start: np.ndarray, stop: np.ndarray, name: np.ndarray, size: np.ndarray, label: np.ndarray, probe: np.ndarray, bits: list[bytes]):
+        """Open pairs of all these small groups: made at once, each compared once however many keys the two share."""
+        reach = np.repeat(stop, stop - start)
+        at = np.concatenate([np.arange(a, b) for a, b in zip(start, stop, strict=True)]) if len(start) else np.zeros(0, np.int64)
+        lefts, rights = [], []
+        step = 1
+        while len(at):
+            some = at + step < reach
+            at, reach = at[some], reach[some]
+            j = at + step
+            most = (size[j] + size[at]) * ratio.numerator // ratio.denominator
+            ok = (label[j] != label[at]) & (probe[j] | probe[at]) & (np.abs(size[j] - size[at]) <= most)
+            lefts.append(at[ok])
+            rights.append(j[ok])
+            step += 1
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
+        low, high = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+        order = np.lexsort((high, low))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        fresh = np.ones(len(i), bool)
+        fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        i, j, low, high = i[fresh], j[fresh], low[fresh], high[fresh]
+        width = np.array([len(b) for b in bits])
+        apart = np.zeros(len(i), np.int64)
+        for w in np.unique(width):  # powers of two up to SKETCH_BITS
+            for v in np.unique(width[width >= w]):
+                own = np.flatnonzero((np.minimum(width[i], width[j]) == w) & (np.maximum(width[i], width[j]) == v))
+                for cut in range(0, len(own), 20_000):
+                    o = own[cut : cut + 20_000]
+                    apart[o] = np.bitwise_count(folded(bits, i[o], w) ^ folded(bits, j[o], w)).sum(axis=1)
+        ok = apart <= (size[i] + size[j]) * ratio.numerator // ratio.denominator
+        low, high, apart = low[ok], high[ok], apart[ok]
+        if nearest_only and len(low):
+            best = np.zeros(len(low), bool)
+            for end in (low, high):
+                order = np.lexsort((apart, end))
+                best[order[np.r_[True, end[order][1:] != end[order][:-1]]]] = True
+            low, high = low[best], high[best]
+        return low, high
+
     def group(own: np.ndarray, name: np.ndarray, size: np.ndarray, label: np.ndarray, probe: np.ndarray, bits: list[bytes], bi: int, bj: int):
-        width = min(map(len, bits))
-        rows = np.zeros((len(bits), width), np.uint8)
-        for i, b in enumerate(bits):
-            s = np.frombuffer(b, np.uint8)
-            while len(s) > width:
-                s = s[: len(s) // 2] ^ s[len(s) // 2 :]
-            rows[i] = s
-        rows = rows.view(np.uint64)
+        """Open pairs of one block of a large group."""
+        rows = folded(bits, np.arange(len(bits)), min(map(len, bits)))
         left, right = (np.flatnonzero(own == bi), np.flatnonzero(own == bj))
         for i in left:
             j = right[right > i] if bi == bj else right
@@ -367,14 +436,19 @@ def _close(similarity: Fraction, nearest_only: bool):
             stop = np.append(start[1:], len(key))
             if batch is not None:  # the last group may go on
                 start, stop = start[:-1], stop[:-1]
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-                found += group(own[a:b], name[a:b], size[a:b].astype(np.int64), label[a:b], probe[a:b], bits[a:b], int(bi[a]), int(bj[a]))
+            size = size.astype(np.int64)
+            small = (stop - start <= SMALL_GROUP) & (bi[start] == bj[start])
+            found: list[tuple[np.ndarray, np.ndarray]] = [among(start[small], stop[small], name, size, label, probe, bits)]
+            for a, b in zip(start[~small].tolist(), stop[~small].tolist(), strict=True):
+                found += group(own[a:b], name[a:b], size[a:b], label[a:b], probe[a:b], bits[a:b], int(bi[a]), int(bj[a]))
             held = held.slice(int(stop[-1])) if len(stop) else held
             if found:
                 x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                x, y = np.minimum(x, y), np.maximum(x, y)
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                fresh = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[fresh]), pa.array(y[fresh])], ["a", "b"])
 
     return run
 
@@ -394,5 +468,5 @@ def _set_table(rows: DataFrame, names: DataFrame, classes: DataFrame, k: int, se
                 _, one = np.unique(name, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(name[one].view(np.int64)), pa.array([h[at[i] : at[i + 1]].view(np.int64) for i in one], pa.list_(pa.int64())), pa.array([sketch(h[at[i] : at[i + 1]]) for i in one], pa.binary())], ["name", "h", "sketch"])
 
-    sets = picked.select("text").mapInArrow(run, "name long, h array<long>, sketch binary")
+    sets = picked.select("text").mapInArrow(tidy(run), "name long, h array<long>, sketch binary")
     return sets.join(names, "name", "left_semi").dropDuplicates(["name"])
