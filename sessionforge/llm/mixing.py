@@ -1,21 +1,23 @@
 """Mixing sources to target weights: hierarchical budgets and seeded token prefixes, in DataFrame operations only.
 
 A token budget flows down a tree (domain, language, source). At each node it is shared among the children by weight,
-none above what its subtree holds (tokens times the most epochs); what a child can't use goes to its siblings by
-weight first, and only what a whole subtree can't use goes to the siblings of its parent. Each leaf then takes whole
-epochs of its documents and, of one more epoch in a seeded order, the prefix that fills its share to the token.
+none above what its subtree can give (tokens times the most epochs); what a child can't use goes to its siblings by
+weight first, and only what a whole subtree can't use goes to the siblings of its parent. A child of weight 0 gets
+nothing. Each leaf then takes whole epochs of its documents and, of the epoch after them, in that epoch's own seeded
+order, the prefix that fills its share to the token.
 
-The prefix needs no sort of a leaf: tokens are summed by leaf and bucket of the order key, the bucket where the share
-ends is found from those sums, and only that bucket's documents are ordered. A leaf with a third of all rows is thus
-summed in every task and ordered in a bucket of bounded expected size."""
+Words are counted once, in one scan whose small rows (no texts) are written to the shared folder; all else reads those.
+The prefix needs no sort of a leaf: tokens are summed by leaf and bucket of the order, the bucket where the share ends
+is found from those sums, and only that bucket's documents are ordered. A leaf has as many buckets as make one of
+BUCKET_ROWS documents, so a leaf with a third of all rows is summed in every task and ordered in a small bucket."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 LEVELS = ("domain", "lang", "source")
 #: Fixed values of the default mix: weights of domains and languages; a value that isn't listed weighs DEFAULT_WEIGHT.
 DOMAIN_WEIGHTS = {"web": 0.5, "books": 0.3, "code": 0.2}
@@ -23,8 +25,8 @@ LANG_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 DEFAULT_WEIGHT = 0.05
 #: The share of all tokens that is wanted, the most times a document is read, and the seed of its order.
 FRACTION, EPOCHS, SEED = 0.5, 4, 17
-#: Documents that a bucket of the order is meant to hold, and leaves up to which their table is broadcast.
-BUCKET_ROWS, BROADCAST_LEAVES = 10_000, 50_000
+#: Documents that a bucket of a leaf's order is meant to hold, and leaves up to which their table is broadcast.
+BUCKET_ROWS, BROADCAST_LEAVES = 256, 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,9 +42,11 @@ def domain_of(source: Column) -> Column:
 
 
 def weight_of(column: Column, weights: dict[str, float]) -> Column:
+    if any(not w >= 0 for w in weights.values()):
+        raise ValueError("weights must be 0 or more")
     out = F.lit(DEFAULT_WEIGHT)
     for name, w in weights.items():
-        out = F.when(column == name, F.lit(w)).otherwise(out)
+        out = F.when(column == name, F.lit(float(w))).otherwise(out)
     return out
 
 
@@ -64,22 +68,24 @@ def shares(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
 
 
 def quotas(leaves: DataFrame, *, domain_weights: dict[str, float], lang_weights: dict[str, float], fraction: float, epochs: int) -> DataFrame:
-    """Leaves (domain, lang, source, tokens) with `quota`, the tokens that each is to give."""
-    top = Window.partitionBy(F.lit(0))
-    domains = leaves.groupBy("domain").agg((F.sum("tokens") * epochs).cast("double").alias("capacity"), F.sum("tokens").alias("t__"))
-    domains = domains.select(F.col("domain").alias("name"), "capacity", F.floor(F.sum("t__").over(top) * F.lit(fraction)).cast("double").alias("want__"), weight_of(F.col("domain"), domain_weights).alias("weight"), F.lit(0).alias("root__"))
+    """Leaves (domain, lang, source, tokens) with `quota`, the tokens that each is to give. The fraction is of all
+    tokens; leaves under a weight of 0 have no capacity and aren't returned."""
+    want = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(fraction)).cast("double").alias("want__"))
+    leaves = leaves.withColumn("dw__", weight_of(F.col("domain"), domain_weights)).withColumn("lw__", weight_of(F.col("lang"), lang_weights)).where("dw__ > 0 AND lw__ > 0")
+    domains = leaves.groupBy("domain").agg((F.sum("tokens") * epochs).cast("double").alias("capacity"), F.first("dw__").alias("weight"))
+    domains = domains.withColumnRenamed("domain", "name").withColumn("root__", F.lit(0)).join(F.broadcast(want))  # one row
     domains = shares(domains, ["root__"], F.col("want__")).select(F.col("name").alias("domain"), F.col("share").alias("have__"))
-    langs = leaves.groupBy("domain", "lang").agg((F.sum("tokens") * epochs).cast("double").alias("capacity")).join(domains, "domain")
-    langs = shares(langs.withColumnRenamed("lang", "name").withColumn("weight", weight_of(F.col("name"), lang_weights)), ["domain"], F.col("have__"))
+    langs = leaves.groupBy("domain", "lang").agg((F.sum("tokens") * epochs).cast("double").alias("capacity"), F.first("lw__").alias("weight")).join(domains, "domain")
+    langs = shares(langs.withColumnRenamed("lang", "name"), ["domain"], F.col("have__"))
     langs = langs.select("domain", F.col("name").alias("lang"), F.col("share").alias("have__"))
-    ends = leaves.withColumn("capacity", (F.col("tokens") * epochs).cast("double")).withColumn("weight", F.lit(1.0)).join(langs, ["domain", "lang"])
+    ends = leaves.drop("dw__", "lw__").withColumn("capacity", (F.col("tokens") * epochs).cast("double")).withColumn("weight", F.lit(1.0)).join(langs, ["domain", "lang"])
     ends = shares(ends.withColumnRenamed("source", "name"), ["domain", "lang"], F.col("have__")).withColumnRenamed("name", "source")
-    return ends.withColumn("quota", F.least(F.floor(F.col("share") + 1e-6), F.col("tokens") * epochs)).select(*LEVELS, "tokens", "quota")
+    return ends.withColumn("quota", F.least(F.floor(F.col("share") + 1e-6), F.col("tokens") * epochs)).drop("capacity", "weight", "have__", "share")
 
 
 def prefix_of(text: Column, n: Column) -> Column:
-    """A text's first n words, joined by single spaces."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n.cast("int")), " ")
+    """A text up to the end of its n-th word; white space and line breaks before that stay as they are."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, domain_weights: dict[str, float] | None = None, lang_weights: dict[str, float] | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -87,26 +93,29 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     taken_tokens = whole_epochs * n_tokens + prefix_tokens, of which the last is what the seeded epoch after the whole
     ones takes from this document (less than n_tokens only where the leaf's share ends). A null language or source is
-    `(none)`; texts without words are never taken; rows that repeat an id are taken one by one. `keep` names columns to
-    carry along."""
+    `(none)`; texts without words are never taken; rows that repeat an id are taken one by one, those without
+    an id in an order by their texts; a leaf under a weight
+    of 0 is never taken. `keep` names short columns to carry along as kept__<name>."""
     dom = domain if domain is not None else domain_of(F.col(source_col))
     none = F.lit("(none)")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(dom, none).alias("domain"), F.coalesce(F.col(lang_col), none).alias("lang"), F.coalesce(F.col(source_col), none).alias("source"), token_count(F.col(text_col)).alias("n_tokens"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("order__"), *[F.col(c).alias(f"kept__{c}") for c in keep]).where("n_tokens > 0")
-    n = docs.count()
-    digits = max(1, min(6, math.ceil(math.log(max(2, n) / BUCKET_ROWS, 16)) if n > BUCKET_ROWS else 1))
-    bucket = F.substring("order__", 1, digits)
-    sums = rows.groupBy(*LEVELS, bucket.alias("bucket__")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
-    leaves = quotas(sums.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), domain_weights=domain_weights or DOMAIN_WEIGHTS, lang_weights=lang_weights or LANG_WEIGHTS, fraction=fraction, epochs=epochs)
+    kept = [F.col(c).alias(f"kept__{c}") for c in keep]
+    rows = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(dom, none).alias("domain"), F.coalesce(F.col(lang_col), none).alias("lang"), F.coalesce(F.col(source_col), none).alias("source"), token_count(F.col(text_col)).alias("n_tokens"), F.when(F.col(id_col).isNull(), F.md5(text_col)).alias("unnamed__"), *kept).where("n_tokens > 0"))
+    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs__"))
+    leaves = quotas(leaves, domain_weights=DOMAIN_WEIGHTS if domain_weights is None else domain_weights, lang_weights=LANG_WEIGHTS if lang_weights is None else lang_weights, fraction=fraction, epochs=epochs)
     leaves = leaves.withColumn("whole__", F.expr("quota div tokens")).withColumn("rest__", F.col("quota") - F.col("whole__") * F.col("tokens"))
-    run = Window.partitionBy(*LEVELS).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("base__", F.coalesce(F.sum("tokens").over(run), F.lit(0))).join(leaves.select(*LEVELS, "whole__", "rest__"), list(LEVELS))
-    ends = ends.where("base__ <= rest__ and rest__ < base__ + tokens").select(*LEVELS, "whole__", "rest__", "base__", F.col("bucket__").alias("end__"))
-    if ends.count() <= BROADCAST_LEAVES:
-        ends = F.broadcast(ends)
-    rows = rows.join(ends, list(LEVELS)).withColumn("b__", bucket)
+    leaves = saved(leaves.where("quota > 0").select(*LEVELS, "whole__", "rest__", F.ceil(F.col("docs__") / BUCKET_ROWS).alias("buckets__")))
+    small = leaves.count() <= BROADCAST_LEAVES
+    listed = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole__").cast("string"), F.coalesce(F.col("doc_id").cast("string"), "unnamed__")))
+    rows = rows.join(listed(leaves), list(LEVELS)).withColumn("order__", order)
+    rows = rows.withColumn("b__", F.shiftright(F.conv(F.substring("order__", 1, 8), 16, 10).cast("long") * F.col("buckets__"), 32))
+    sums = rows.groupBy(*LEVELS, "rest__", "b__").agg(F.sum("n_tokens").alias("tokens"))
+    run = Window.partitionBy(*LEVELS).orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sums.withColumn("base__", F.coalesce(F.sum("tokens").over(run), F.lit(0))).where("base__ <= rest__ and rest__ < base__ + tokens")
+    rows = rows.join(listed(ends.select(*LEVELS, "base__", F.col("b__").alias("end__"))), list(LEVELS))
     inside = Window.partitionBy(*LEVELS).orderBy("order__", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     outer = rows.where("b__ <> end__").withColumn("prefix_tokens", F.when(F.col("b__") < F.col("end__"), F.col("n_tokens")).otherwise(F.lit(0)).cast("long"))
     edge = rows.where("b__ = end__").withColumn("at__", F.col("base__") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     edge = edge.withColumn("prefix_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest__") - F.col("at__"))).cast("long")).drop("at__")
     out = outer.unionByName(edge).withColumn("taken_tokens", F.col("whole__") * F.col("n_tokens") + F.col("prefix_tokens")).where("taken_tokens > 0")
-    return out.select("doc_id", *LEVELS, "n_tokens", F.col("whole__").cast("long").alias("whole_epochs"), "prefix_tokens", "taken_tokens", *[F.col(f"kept__{c}").alias(f"kept__{c}") for c in keep])
+    return out.select("doc_id", *LEVELS, "n_tokens", F.col("whole__").cast("long").alias("whole_epochs"), "prefix_tokens", "taken_tokens", *[f"kept__{c}" for c in keep])

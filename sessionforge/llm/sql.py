@@ -24,7 +24,7 @@ def mixing() -> str:
 WITH d AS (SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
     CASE WHEN source IS NULL THEN '(none)' WHEN coalesce(try_cast(nullif(regexp_extract(source, '(\d{{1,9}})$', 1), '') AS BIGINT), 999999999) < 7 THEN 'web'
       WHEN coalesce(try_cast(nullif(regexp_extract(source, '(\d{{1,9}})$', 1), '') AS BIGINT), 999999999) < 14 THEN 'books' ELSE 'code' END AS domain,
-    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, md5('{mix.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, coalesce(doc_id::VARCHAR, md5(text)) AS named FROM documents),
 t AS (SELECT * FROM d WHERE n_tokens > 0),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
 dom0 AS (SELECT 0 AS root, domain AS name, {_case('domain', mix.DOMAIN_WEIGHTS)} AS weight, (sum(tokens) * {mix.EPOCHS})::DOUBLE AS capacity,
@@ -37,9 +37,10 @@ src0 AS (SELECT l.domain, l.lang, l.source AS name, 1.0::DOUBLE AS weight, (l.to
     FROM leaves l JOIN lng ON lng.domain = l.domain AND lng.name = l.lang),
 src AS ({_shares('src0', 'domain, lang')}),
 q AS (SELECT domain, lang, name AS source, tokens, least(floor(share + 1e-6)::BIGINT, tokens * {mix.EPOCHS}) AS quota FROM src),
-r AS (SELECT t.*, q.quota // q.tokens AS whole, q.quota % q.tokens AS rest,
-    coalesce(sum(n_tokens) OVER (PARTITION BY t.domain, t.lang, t.source ORDER BY o, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+o AS (SELECT t.*, q.quota // q.tokens AS whole, q.quota % q.tokens AS rest, md5('{mix.SEED}:' || (q.quota // q.tokens) || ':' || named) AS o
     FROM t JOIN q USING (domain, lang, source)),
+r AS (SELECT *,
+    coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
 p AS (SELECT *, greatest(0, least(n_tokens, rest - before))::BIGINT AS prefix FROM r)
 SELECT doc_id, domain, lang, source, n_tokens, whole::BIGINT AS whole_epochs, prefix AS prefix_tokens, (whole * n_tokens + prefix)::BIGINT AS taken_tokens
 FROM p WHERE whole * n_tokens + prefix > 0"""
