@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, distinct_sets, mix, row_name, shingle_hashes, slices, text_buffer, without, word_hashes
+from .common import U64, byte_table, distinct_sets, mix, row_name, shingle_hashes, slices, text_buffer, tidy, without, word_hashes
 
 WORDS, THRESHOLD, MINHASHES, LEAST_CLASS = 5, 0.8, 64, 8
 #: Items (and their bytes) that one pass over the documents looks for; more items take more passes.
@@ -145,7 +145,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
                     sizes = [len(own.sets[i]) for _, i, _ in found]
                     yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[i] for _, i, _ in found], pa.int64()), pa.array(sizes, pa.int32()), pa.array([s for _, _, s in found], pa.int32()), pa.array([s / m for (_, _, s), m in zip(found, sizes, strict=True)], pa.float64())], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
 
-        part = rows.mapInArrow(look, ROWS)
+        part = rows.mapInArrow(tidy(look), ROWS)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, text_buffer
+from .common import held_out, slices, text_buffer, tidy
 
 ROWS = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 PIECE, BLOCK = 512, 4096
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, texts: dict[str, bytes], *, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(names, pa.string()), pa.array(score), pa.array(bits)], [f.name for f in schema])
 
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), *keep, F.lower(text).alias("lowered__"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters__")).mapInArrow(predict, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, F.lower(text).alias("lowered__"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters__")).mapInArrow(tidy(predict), schema)
 
 
 def fitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:

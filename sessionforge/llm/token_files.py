@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, slices
+from .common import scratch_dir, slices, tidy
 
 MANIFEST = "shard int, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    counts = sorted(tuple(r) for r in ranged.mapInArrow(write, MANIFEST).collect())
+    counts = sorted(tuple(r) for r in ranged.mapInArrow(tidy(write), MANIFEST).collect())
     base, manifest = 0, []
     for shard, n_docs, n_ids in counts:
         manifest.append((shard, n_docs, n_ids, base))
@@ -217,7 +217,7 @@ def read_tokens(spark: SparkSession, out: str, manifest: DataFrame, width: int)
                     yield pa.RecordBatch.from_arrays([pa.array(docs[cut], mask=docs[cut] < 0), pa.array(at[:-1][cut]), pa.array(np.diff(at)[cut]), pa.array(crc[cut]), pa.array(np.full(len(docs[cut]), shard, np.int32))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     shards = manifest.count()
-    return manifest.select("shard").repartition(max(1, shards), "shard").mapInArrow(read, ROWS)
+    return manifest.select("shard").repartition(max(1, shards), "shard").mapInArrow(tidy(read), ROWS)
 
 
 def token_files(docs: DataFrame, tokenizer: str, out: str | None = None) -> DataFrame:
