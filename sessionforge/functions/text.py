@@ -37,6 +37,11 @@ def series_base(title: Column) -> Column:
     return F.lower(normalised_space(s))
 
 
+def series_text(title: Column) -> Column:
+    """A title's words before its subtitle, without the year: how a series is shown."""
+    return F.trim(F.get(F.split(F.regexp_replace(title, r"\([0-9]{4}\)\s*$", ""), r":| - "), F.lit(0)))
+
+
 def ordinal_text(n: Column) -> Column:
     return F.when(n == 1, "most recent").when(n == 2, "2nd most recent").when(n == 3, "3rd most recent").otherwise(F.concat(n.cast("string"), F.lit("th most recent")))
 

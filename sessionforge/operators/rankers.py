@@ -62,9 +62,9 @@ def title_overlap(pools: DataFrame, examples: DataFrame, items: DataFrame) -> Da
     return _filled(pools, rows.select("session_id", "item_id", best.alias("s")), "title_overlap")
 
 
-def item_knn(pools: DataFrame, examples: DataFrame, train: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The window of recent items is cut first, then items outside the catalog fall away; repeats count."""
-    e = edges(train, catalog)
+def item_knn(pools: DataFrame, examples: DataFrame, e: DataFrame) -> DataFrame:
+    """e: edges of the catalog. The window of recent items is cut first, then items outside the catalog fall away;
+    repeats count."""
     asked = pools.select("session_id", "item_id").join(history_rows(examples, HISTORY), "session_id")
     got = knn_scores(asked, e).groupBy("session_id", "item_id").agg(F.sum("cosine").alias("s"))
     return _filled(pools, got, "item_knn")
@@ -82,8 +82,23 @@ def _filled(pools: DataFrame, scores: DataFrame, name: str) -> DataFrame:
     return rows.select("session_id", "item_id", F.lit(name).alias("ranker"), F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score"))
 
 
-def all_rankers(pools: DataFrame, examples: DataFrame, train: DataFrame, popularity: DataFrame, items: DataFrame) -> DataFrame:
-    parts = [simple(pools, train, popularity), genre_overlap(pools, examples, items), title_overlap(pools, examples, items), item_knn(pools, examples, train, items), sequential(pools, examples, train)]
+NAMES = ["random", "popularity", "inverse_popularity", "newest_first", "genre_overlap", "title_overlap", "item_knn", "sequential_transitions"]
+
+
+def all_rankers(pools: DataFrame, examples: DataFrame, train: DataFrame, popularity: DataFrame, items: DataFrame, names: list[str] | None = None, e: DataFrame | None = None) -> DataFrame:
+    """Scores of the rankers named (all); only those are built. e: edges of the catalog where they are at hand."""
+    names = NAMES if names is None else names
+    parts = []
+    if some := [n for n in names if n in NAMES[:4]]:
+        parts.append(simple(pools, train, popularity).where(F.col("ranker").isin(some)))
+    if "genre_overlap" in names:
+        parts.append(genre_overlap(pools, examples, items))
+    if "title_overlap" in names:
+        parts.append(title_overlap(pools, examples, items))
+    if "item_knn" in names:
+        parts.append(item_knn(pools, examples, edges(train, items) if e is None else e))
+    if "sequential_transitions" in names:
+        parts.append(sequential(pools, examples, train))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -65,30 +65,6 @@ def parsed(rows: DataFrame) -> DataFrame:
     return out.withColumn("target_rank", F.nullif(F.array_position("ranked", F.col("target")), F.lit(0)).cast("int"))
 
 
-#: Instructions and fields of prompts: variant -> system message, rules; context -> what a line of the history shows.
-INSTRUCTIONS = {
-    "direct": ("You rank {noun}s for a user.", "Score every candidate from 0 to 100 by how likely the user picks it next."),
-    "steps": ("You rank {noun}s for a user. Think about the user's taste first.", "Work out what the history has in common, then score every candidate from 0 to 100."),
-    "compare": ("You compare {noun}s for a user.", "Compare the candidates with one another, then score each from 0 to 100."),
-    "recent": ("You rank {noun}s for a user with the latest choices in mind.", "Weigh recent history most, then score every candidate from 0 to 100."),
-}
-CONTRACT = 'Answer with JSON only: {"scores": [one number for each candidate, in the order given]}.'
-
-
-def rendered(sessions: DataFrame, items: DataFrame, variant: str, context: str, noun: str = "item") -> DataFrame:
-    """session_id, system_message and user_message. sessions: session_id, prefix, candidates; items: item_id and `line`,
-    the text that the context shows for an item. History is oldest first, candidates in presented order, both numbered."""
-    system, rule = INSTRUCTIONS[variant]
-    out = sessions
-    for name, column in (("history", "prefix"), ("choices", "candidates")):
-        rows = sessions.select("session_id", F.posexplode(column).alias("i", "item_id")).join(items.select("item_id", "line"), "item_id", "left")
-        text = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("line", F.lit("unknown")).alias("line")))).alias("a"))
-        lines = F.array_join(F.transform("a", lambda x: F.concat((x["i"] + 1).cast("string"), F.lit(". "), x["line"])), "\n")
-        out = out.join(text.select("session_id", lines.alias(name)), "session_id", "left")
-    user = F.concat_ws("\n", F.lit(f"History ({context}), oldest first:"), F.coalesce("history", F.lit("none")), F.lit("Candidates:"), F.coalesce("choices", F.lit("none")), F.lit(rule), F.lit(CONTRACT))
-    return out.select("session_id", F.lit(system.format(noun=noun)).alias("system_message"), user.alias("user_message"))
-
-
 def generated(prompts: DataFrame, generate, model: str) -> DataFrame:
     """Answers of a model client to rows (session_id, member, system_message, user_message): the one place where Python
     runs over rows. generate(system, user) gives text; a failure is a record with its message, not a lost row."""

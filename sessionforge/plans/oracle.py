@@ -56,7 +56,7 @@ PARTS = {
     "clean": f"SELECT user_id, session_id, prefix, target, target_timestamp, CASE WHEN {u('0', 'session_id')} < 0.3 * 4294967296 THEN 'validation' ELSE 'test' END AS split FROM judged WHERE drop_reason IS NULL",
     "pop": "SELECT item_id, count(*) AS n FROM train GROUP BY item_id",
     "seen": "SELECT item_id, min(timestamp) AS first_seen FROM train GROUP BY item_id",
-    "itm": "SELECT p_partkey AS item_id, p_name AS title, list_distinct([p_type, p_brand]) AS genres, p_retailprice AS price FROM part WHERE p_partkey IN (SELECT item_id FROM inter)",
+    "itm": "SELECT p_partkey AS item_id, p_name AS title, CASE WHEN p_type = p_brand THEN [p_type] ELSE [p_type, p_brand] END AS genres, p_retailprice AS price FROM part WHERE p_partkey IN (SELECT item_id FROM inter)",
     "trans": f"SELECT previous, next, count(*) AS n FROM (SELECT item_id AS previous, lead(item_id) OVER (PARTITION BY user_id ORDER BY timestamp, item_id, {TIES}) AS next FROM train) WHERE next IS NOT NULL GROUP BY ALL",
     "edges": "SELECT DISTINCT user_id, item_id FROM train WHERE item_id IN (SELECT item_id FROM itm)",
     "norms": "SELECT item_id, sqrt(count(*)) AS norm FROM edges GROUP BY item_id",

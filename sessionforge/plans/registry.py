@@ -14,6 +14,7 @@ from ..operators import ordinals, pools, rankers, sessions, trials
 from ..operators import popularity as pop
 from ..operators import statistics as st
 from ..sources import tables as src
+from ..sources.scratch import saved
 from .oracle import TIES, means, metrics, order, sql, u
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,27 +32,54 @@ def query(oracle: str | None = None):
 
 
 class Bench:
-    """The frames that queries share, each built when first asked for."""
+    """The frames that queries share. Those that several parts of a plan read are written once, to the shared folder,
+    when first asked for; each query has its own."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
         self.inter = src.interactions(spark, sf_dir)
-        self.train = sessions.training(self.inter)
-        self.pop = pop.popularity(self.train)
-        self.clean = sessions.clean(self.inter)
-        self.items = src.items(spark, sf_dir).join(self.inter.select("item_id").distinct(), "item_id", "left_semi")
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = saved(build())
+        return self._kept[name]
+
+    @property
+    def train(self) -> DataFrame:
+        return self.kept("train", lambda: sessions.training(self.inter))
+
+    @property
+    def pop(self) -> DataFrame:
+        return self.kept("pop", lambda: pop.popularity(self.train))
+
+    @property
+    def clean(self) -> DataFrame:
+        return self.kept("clean", lambda: sessions.clean(self.inter))
+
+    @property
+    def items(self) -> DataFrame:
+        return self.kept("items", lambda: src.items(self.spark, self.sf_dir).join(self.inter.select("item_id").distinct(), "item_id", "left_semi"))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.kept("edges", lambda: pop.edges(self.train, self.items))
 
     def random(self) -> DataFrame:
-        return pools.random_pools(self.clean, self.items)
+        return self.kept("random", lambda: pools.random_pools(self.clean, self.items))
 
     def matched(self) -> DataFrame:
-        return pools.popularity_matched_pools(self.clean, self.pop, self.items)
+        return self.kept("matched", lambda: pools.popularity_matched_pools(self.clean, self.pop, self.items))
 
     def answers(self) -> DataFrame:
-        return trials.hash_scores(trials.presented(self.random(), trials.MEMBERS))
+        return self.kept("answers", lambda: trials.hash_scores(trials.presented(self.random(), trials.MEMBERS)))
+
+    def ranker_scores(self, chosen: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """Scores of the rankers named (all), of which only those are built."""
+        return rankers.all_rankers(chosen, self.clean, self.train, self.pop, self.items, names, self.edges if names is None or "item_knn" in names else None)
 
-    def ranker_scores(self, chosen: DataFrame) -> DataFrame:
-        return rankers.all_rankers(chosen.persist(), self.clean.persist(), self.train, self.pop, self.items)  # five rankers read them
+    def trials_of(self, scores: DataFrame) -> DataFrame:
+        return scores.join(self.clean.select("session_id", "split", "target"), "session_id")
 
 
 # Sources and sessions ------------------------------------------------------------------------------------------------
@@ -125,17 +153,8 @@ def crc_split(spark, sf_dir):
 
 @query()
 def k_core(spark, sf_dir):
-    def checkpoint(df):
-        import tempfile
-        import uuid
-
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-        path = f"{base}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     rows = src.interactions(spark, sf_dir).select("user_id", "item_id").distinct()
-    return sessions.k_core(rows, 25, checkpoint)
+    return sessions.k_core(rows, 25, saved)
 
 
 # Statistics of items -------------------------------------------------------------------------------------------------
@@ -179,7 +198,7 @@ def gap_shares(spark, sf_dir):
 @query(sql("SELECT item_id, round(norm, 9) AS norm FROM norms"))
 def item_norms(spark, sf_dir):
     b = Bench(spark, sf_dir)
-    return pop.norms(pop.edges(b.train, b.items)).select("item_id", F.round("norm", 9).alias("norm"))
+    return pop.norms(b.edges).select("item_id", F.round("norm", 9).alias("norm"))
 
 
 # Pools ---------------------------------------------------------------------------------------------------------------
@@ -402,7 +421,7 @@ GRID_RANKERS = ["item_knn", "popularity", "sequential_transitions"]
   grid="SELECT id, list_extract([0, 0.25, 0.5, 1.0]::DOUBLE[], id % 4 + 1) AS a, list_extract([0, 0.25, 0.5, 1.0]::DOUBLE[], id // 4 % 4 + 1) AS b, list_extract([0, 0.25, 0.5, 1.0]::DOUBLE[], id // 16 + 1) AS c FROM (SELECT unnest(range(1, 64)) AS id)"))
 def blend_grid(spark, sf_dir):
     b = Bench(spark, sf_dir)
-    scores = b.ranker_scores(b.matched()).where(F.col("ranker").isin(GRID_RANKERS)).join(b.clean.where("split = 'validation'").select("session_id", "target"), "session_id")
+    scores = b.ranker_scores(b.matched(), GRID_RANKERS).join(b.clean.where("split = 'validation'").select("session_id", "target"), "session_id")
     return en.blend_grid(en.zscored(scores, "ranker"), GRID_RANKERS)
 
 
@@ -417,7 +436,7 @@ _PAIRS = """SELECT session_id, max(rr) FILTER (ranker = 'item_knn') AS a, max(rr
 
 def _pairs(spark, sf_dir) -> DataFrame:
     b = Bench(spark, sf_dir)
-    rr = rankers.session_metrics(b.ranker_scores(b.matched()).where(F.col("ranker").isin("item_knn", "popularity")), b.clean, "ranker")
+    rr = rankers.session_metrics(b.ranker_scores(b.matched(), ["item_knn", "popularity"]), b.clean, "ranker")
     rr = rr.groupBy("session_id").agg(F.max(F.when(F.col("ranker") == "item_knn", F.col("rr"))).alias("a"), F.max(F.when(F.col("ranker") == "popularity", F.col("rr"))).alias("b"))
     return rr.withColumn("comparison", F.lit("item_knn - popularity"))
 
@@ -444,7 +463,7 @@ def holm_adjusted(spark, sf_dir):
   pool="SELECT * FROM match", knn=metrics("(SELECT s.*, c.target FROM scores s JOIN clean c USING (session_id) WHERE ranker = 'item_knn')")))
 def rarity_strata(spark, sf_dir):
     b = Bench(spark, sf_dir)
-    scores = rankers.item_knn(b.matched(), b.clean, b.train, b.items)
+    scores = b.ranker_scores(b.matched(), ["item_knn"])
     rr = rankers.session_metrics(scores, b.clean).join(b.clean.select("session_id", F.col("target").alias("item_id")), "session_id").join(b.pop, "item_id", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     cut = rr.agg(F.percentile("c", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
     s = F.when(F.col("c") <= F.col("q")[0], "rare").when(F.col("c") <= F.col("q")[1], "mid").otherwise("common")

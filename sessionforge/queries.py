@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import registry
+from .plans import context, registry  # noqa: F401  (context registers its queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registry.QUERIES
 ORACLE_SQL: dict[str, str] = registry.ORACLE_SQL

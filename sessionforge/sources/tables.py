@@ -57,6 +57,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.array_distinct(F.array("p_type", "p_brand")).alias("genres"), F.col("p_retailprice").alias("price"))
 
 
+def item_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, subgenre, subgenre_family, format and price, from part: its brand, type and size."""
+    size = F.when(F.col("p_size") <= 15, "compact").when(F.col("p_size") <= 35, "standard").otherwise("")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("subgenre"), F.col("p_type").alias("subgenre_family"), size.alias("format"), F.col("p_retailprice").alias("price"))
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Ratings separated by ::, without a header."""
     return spark.read.option("sep", "::").schema(RATINGS).csv(path)
