@@ -18,18 +18,17 @@ def ranks(answers: DataFrame, *by: str) -> DataFrame:
 def kendall(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """tau-b between each two members of each session (`by`): with a, b (a < b) and tau; 0 where undefined.
 
-    Pairs of items of one pool: at most pool size squared a session and two members."""
-    x = rows.select("session_id", *by, "member", "item_id", F.col(value).alias("v"))
-    l, r = x.alias("l"), x.alias("r")
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("session_id", *by, "member")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    pairs = l.join(r, cond & (F.col("l.item_id") < F.col("r.item_id"))).select(*[F.col(f"l.{c}") for c in ("session_id", *by, "member")], F.col("l.item_id").alias("i"), F.col("r.item_id").alias("j"), F.signum(F.col("l.v") - F.col("r.v")).alias("s"))
-    a, b = pairs.withColumnRenamed("member", "a").withColumnRenamed("s", "sa"), pairs.withColumnRenamed("member", "b").withColumnRenamed("s", "sb")
-    both = a.join(b, ["session_id", *by, "i", "j"]).where("a < b")
-    denominator = F.sqrt(F.sum(F.abs("sa")) * F.sum(F.abs("sb")))
-    return both.groupBy("session_id", *by, "a", "b").agg(F.round(F.coalesce(F.sum(F.col("sa") * F.col("sb")) / F.nullif(denominator, F.lit(0.0)), F.lit(0.0)), 9).alias("tau"))
+    A member's values become one array, in order of the items, and that the signs of its pairs; a session's members
+    then meet in one row, so no pair of items is ever a row."""
+    keys = ["session_id", *by]
+    values = rows.groupBy(*keys, "member").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.col(value).alias("v")))), lambda x: x["v"]).alias("v"))
+    signs = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice(F.col("v"), i + 2, F.greatest(F.size("v") - i - 1, F.lit(0))), lambda y: F.signum((x - y).cast("double")).cast("int"))))
+    met = values.select(*keys, "member", signs.alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("member", "s"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.greatest(F.size("m") - i - 1, F.lit(0))), lambda y: F.struct(x["member"].alias("a"), y["member"].alias("b"), F.zip_with(x["s"], y["s"], lambda p, q: p * q).alias("both"), x["s"].alias("sa"), y["s"].alias("sb")))))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    untied = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + F.abs(x))
+    rows = met.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.a", "p.b", total(F.col("p.both")).cast("double").alias("t"), untied(F.col("p.sa")).cast("double").alias("na"), untied(F.col("p.sb")).cast("double").alias("nb"))
+    return rows.select(*keys, "a", "b", F.round(F.coalesce(F.col("t") / F.nullif(F.sqrt(F.col("na") * F.col("nb")), F.lit(0.0)), F.lit(0.0)), 9).alias("tau"))
 
 
 def jaccard_at(ranked: DataFrame, k: int) -> DataFrame:

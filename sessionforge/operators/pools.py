@@ -180,6 +180,11 @@ def retrieval_pools(examples: DataFrame, retrieved: DataFrame, size: int = POOL,
     return shuffled(rows, "retrieval", seed)
 
 
+def found_only(pools: DataFrame) -> DataFrame:
+    """Retrieval pools whose target the retriever found."""
+    return pools.where("target_retrieved")
+
+
 def sampled_ladder(pools: DataFrame, base_type: str = "popularity_matched", base: int = 500, rest: int = 300, seed: int = SEED) -> DataFrame:
     """`base` sessions of the base level by hash order, of which the other levels keep the first `rest`."""
     key = order_hash(F.lit(seed), F.col("session_id"))
