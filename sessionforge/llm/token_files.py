@@ -2,7 +2,8 @@
 
 Format of a data set folder, little-endian throughout:
   ids-NNNNN.bin   the ids of the shard's documents end to end, unsigned 16 bit where every id fits, else 32 bit
-  docs-NNNNN.bin  int64 document ids, ascending
+  docs-NNNNN.bin  int64: how many documents have no id, then the documents' ids, ascending; those without one come
+                  first, as 0
   at-NNNNN.bin    int64 offsets, one more than documents, counted from the first id of the whole data set
 Shards follow each other in document order. A shard's base is the prefix sum of the shards before it; those counts,
 one row a shard, are all that reaches the driver.
@@ -132,15 +133,15 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
     """Encodes every whole text, writes the data set and returns its manifest: shard, n_docs, n_ids, base.
 
     Rows are dealt by range of (id, text) and sorted, so shards ascend. A null or empty text is the end id alone; rows
-    with a null id come first, as id -1 in the file; repeated rows are written as often as they occur. No rows: a
-    manifest without rows."""
+    with a null id come first; any id, negative ones too, is kept as it is; repeated rows are written as often as they
+    occur. No rows: a manifest without rows."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, top = _opened(out)
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
-        ids, at, total, sink = [], [np.zeros(1, np.int64)], 0, None
+        ids, at, total, nulls, sink = [], [np.zeros(1, np.int64)], 0, 0, None
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 if sink is None:
@@ -149,14 +150,15 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
                 coded = [enc(t or "") for t in part.column(1).to_pylist()]
                 counts = np.array([len(c) // enc.kind.itemsize + 1 for c in coded], np.int64)
                 sink.write(b"".join(x for c in coded for x in (c, end)))
-                ids.append(part.column(0).to_numpy(zero_copy_only=False))
+                nulls += part.column(0).null_count
+                ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 at.append(total + np.cumsum(counts))
                 total = int(at[-1][-1])
         if sink is None:
             return
         sink.close()
         _renamed(fs, f"{top}/.{attempt}.ids", f"{top}/ids-{shard:05d}.bin")
-        for name, data in (("docs", np.concatenate(ids)), ("local", np.concatenate(at))):
+        for name, data in (("docs", np.concatenate([[nulls], *ids])), ("local", np.concatenate(at))):
             with fs.open_output_stream(f"{top}/.{attempt}.{name}") as f:
                 f.write(data.astype("<i8").tobytes())
             _renamed(fs, f"{top}/.{attempt}.{name}", f"{top}/{name}-{shard:05d}.bin")
@@ -175,7 +177,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
             yield batch
 
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     counts = sorted(tuple(r) for r in ranged.mapInArrow(tidy(write), MANIFEST).collect())
     base, manifest = 0, []
@@ -207,14 +209,15 @@ def read_tokens(spark: SparkSession, out: str, manifest: DataFrame, width: int)
         kind = np.dtype(f"<u{width}")
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                docs = _mapped(fs, f"{top}/docs-{shard:05d}.bin", np.dtype("<i8"))
+                nulls, docs = np.split(_mapped(fs, f"{top}/docs-{shard:05d}.bin", np.dtype("<i8")), [1])
+                absent = np.arange(len(docs)) < nulls[0]
                 at = _mapped(fs, f"{top}/at-{shard:05d}.bin", np.dtype("<i8"))
                 ids = _mapped(fs, f"{top}/ids-{shard:05d}.bin", kind)
                 local = at - at[0]
                 crc = np.fromiter((zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(local[:-1], local[1:], strict=True)), np.int64, len(docs))
                 for low in range(0, len(docs), 50_000):
                     cut = slice(low, low + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[cut], mask=docs[cut] < 0), pa.array(at[:-1][cut]), pa.array(np.diff(at)[cut]), pa.array(crc[cut]), pa.array(np.full(len(docs[cut]), shard, np.int32))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[cut], mask=absent[cut]), pa.array(at[:-1][cut]), pa.array(np.diff(at)[cut]), pa.array(crc[cut]), pa.array(np.full(len(docs[cut]), shard, np.int32))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     shards = manifest.count()
     return manifest.select("shard").repartition(max(1, shards), "shard").mapInArrow(tidy(read), ROWS)
