@@ -14,19 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, slices, text_buffer, tidy
 
 ROWS = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 PIECE, BLOCK = 512, 4096
-#: Bytes of labelled text that a language's automaton is built from at most, of how many documents, and of each.
-TRAIN_BYTES, TRAIN_DOCS, TRAIN_EACH = 32_768, 64, 2_048
-#: More languages than this is taken for a wrong label column and refused.
-MOST_LANGUAGES = 500
-#: Bytes of all tables together; with many languages each gets less labelled text.
-TABLE_BYTES = 96 << 20
+#: Bytes of labelled text that a language's automaton is built from at most; about how many documents they come from
+#: (by hash, so their number varies); and characters of each, in so many passages spread over its whole text.
+TRAIN_BYTES, TRAIN_DOCS, TRAIN_EACH, PASSAGES = 32_768, 128, 2_048, 8
+#: Bytes of tables that a worker keeps, and the least labelled text of a language: with many languages each gets less,
+#: and tables beyond the bound are built again for each batch.
+TABLE_BYTES, LEAST_BYTES = 96 << 20, 2_048
 #: Evidence, in bytes of text, that the score counts at most; it keeps scores of long texts comparable.
 EVIDENCE_BYTES = 64
 
@@ -62,9 +62,21 @@ class CrossParser:
         for i, b in enumerate(used):
             self.code[b] = i + 2
         self.width = len(used) + 2
-        self.tables = [self._table(bytes(self.code[np.frombuffer(texts[n], np.uint8)])) for n in self.names]
+        self.coded = [bytes(self.code[np.frombuffer(texts[n], np.uint8)]) for n in self.names]
+        self.kept: dict[int, np.ndarray] = {}
+        self.room = TABLE_BYTES
         self.bits = [math.log2(max(2, len(texts[n]))) for n in self.names]
 
+    def table(self, k: int) -> np.ndarray:
+        """The table of a language: kept while there is room, else built anew."""
+        if k in self.kept:
+            return self.kept[k]
+        out = self._table(self.coded[k])
+        if out.nbytes <= self.room:
+            self.kept[k] = out
+            self.room -= out.nbytes
+        return out
+
     def _table(self, text: bytes) -> np.ndarray:
         nexts: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
@@ -119,12 +131,13 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         counts = np.zeros((len(n), len(self.names)), np.int64)
         code = np.concatenate([code, np.zeros(PIECE, np.uint8)])
-        for low in range(0, len(order), BLOCK):
+        for k, low in ((k, low) for k in range(len(self.names)) for low in range(0, len(order), BLOCK)):
+            table = self.table(k) if not low else table
             own = order[low : low + BLOCK]
             steps = int(length[own[0]])
             place = np.arange(steps)[:, None]
             block = np.where(place < length[own], code[first[own] + place], 0).astype(np.int32)
-            for k, table in enumerate(self.tables):
+            if steps:
                 state, total = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
                 for row in block:
                     got = table[state + row]
@@ -155,20 +168,27 @@ def parser(texts: dict[str, bytes]) -> CrossParser:
     return _PARSERS[key]
 
 
+def _passages(text: Column) -> Column:
+    """A text, or of a longer one than TRAIN_EACH as many characters in PASSAGES passages from its begin to its end."""
+    size = TRAIN_EACH // PASSAGES
+    step = (F.length(text) - size) / (PASSAGES - 1)
+    some = [F.substr(text, (F.floor(step * i) + 1).cast("int"), F.lit(size)) for i in range(PASSAGES)]
+    return F.when(F.length(text) <= TRAIN_EACH, text).otherwise(F.concat_ws(" ", *some))
+
+
 def labelled_texts(train: DataFrame, *, id_col: str, text_col: str, lang_col: str, train_bytes: int = TRAIN_BYTES) -> dict[str, bytes]:
-    """A bounded sample of labelled text for each language: about TRAIN_DOCS documents by hash of the id, TRAIN_EACH
-    characters of each. One count per language, then a filter: no rows are shuffled."""
+    """A bounded sample of labelled text for each language: about TRAIN_DOCS documents by hash of the id, of each at
+    most TRAIN_EACH characters in passages spread over the whole text. One count per language, then a filter: no rows
+    are shuffled."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return {}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}")
     spark = train.sparkSession
-    share = spark.createDataFrame([(name, min(1.0, 2.0 * TRAIN_DOCS / n) * 2.0**63) for name, n in counts.items()], "l string, most double")
+    share = spark.createDataFrame([(name, min(1.0, TRAIN_DOCS / n) * 2.0**63) for name, n in counts.items()], "l string, most double")
     order = F.xxhash64("i", F.lit(6)).cast("double") + F.lit(2.0**63)
-    picked = rows.join(F.broadcast(share), "l").where(order / 2 <= F.col("most")).select("l", F.substring("t", 1, TRAIN_EACH).alias("t"), order.alias("o"), "i").collect()
-    each = min(train_bytes, TABLE_BYTES // (len(counts) * 4 * 48 * 2))
+    picked = rows.join(F.broadcast(share), "l").where(order / 2 <= F.col("most")).select("l", _passages(F.col("t")).alias("t"), order.alias("o"), "i").collect()
+    each = max(LEAST_BYTES, min(train_bytes, TABLE_BYTES // (len(counts) * 4 * 48 * 2)))
     out: dict[str, bytes] = {}
     for r in sorted(picked, key=lambda r: (r["l"], r["o"], r["i"] is None, r["i"])):
         have = out.get(r["l"], b"")
@@ -186,7 +206,7 @@ def identify(docs: DataFrame, texts: dict[str, bytes], *, id_col: str = "doc_id"
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(texts) if texts else None
         for batch in batches:
-            for part in slices(batch, "lowered__", 1 << 22):
+            for part in slices(batch, "lowered__", 1 << 20):
                 n = part.num_rows
                 letters = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
                 raw, at = text_buffer(part.column(part.num_columns - 2))
