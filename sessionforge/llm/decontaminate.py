@@ -4,8 +4,8 @@ Items are dealt into size classes (8, 16, 32, ... shingles). For each class a do
 adjacent blocks of that many shingles, so an item lies whole in some window of at most four times its size, and
 MinHash works on sets of like size however long the document is. A window and an item that agree in any one of
 MINHASHES minima (bands of one row) are a candidate: an item of which 0.8 is present agrees in a minimum with
-probability 0.19 at least, and is missed by all 64 with 2e-6 at most. Candidates are verified against all shingles
-of the whole document."""
+probability 0.19 at least, and is missed by all 64 with 2e-6 at most; items of one or two shingles, for which
+windows are too wide, are looked up by those. Candidates are verified against all shingles of the whole document."""
 
 from __future__ import annotations
 
@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, distinct_sets, mix, row_name, shingle_hashes, slices, text_buffer, tidy, without, word_hashes
+from .common import U64, byte_table, distinct_sets, mix, row_name, saved, shingle_hashes, slices, text_buffer, tidy, without, word_hashes
 
 WORDS, THRESHOLD, MINHASHES, LEAST_CLASS = 5, 0.8, 64, 8
+#: Items of so few shingles are looked up by each of them.
+TINY = 2
 #: Items (and their bytes) that one pass over the documents looks for; more items take more passes.
 PASS_ITEMS, PASS_BYTES = 50_000, 32 << 20
 ROWS = "doc_id long, item_id long, n_item_shingles int, n_shared int, containment double"
@@ -42,8 +44,13 @@ class Items:
         self.sets = [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         groups: dict[int, list[int]] = defaultdict(list)
         for i, s in enumerate(self.sets):
-            if len(s):
+            if len(s) > TINY:
                 groups[max(LEAST_CLASS, 1 << (len(s) - 1).bit_length())].append(i)
+        self.tiny: dict[int, list[int]] = defaultdict(list)  # windows are too wide for items of one or two shingles
+        for i, s in enumerate(self.sets):
+            for x in s.tolist() if len(s) <= TINY else ():
+                self.tiny[x].append(i)
+        self.tiny_known = np.array(sorted(self.tiny), np.uint64)
         self.classes = {}
         for u, members in sorted(groups.items()):
             found = []
@@ -62,6 +69,13 @@ class Items:
         first = np.concatenate([[0], np.cumsum(blocks)])
         if not first[-1]:
             return set()
+        out: set[tuple[int, int]] = set()
+        if len(self.tiny_known):
+            near = np.minimum(np.searchsorted(self.tiny_known, h), len(self.tiny_known) - 1)
+            for place in np.flatnonzero(self.tiny_known[near] == h).tolist():
+                out.update((int(np.searchsorted(at, place, "right") - 1), i) for i in self.tiny[int(h[place])])
+        if not self.classes:
+            return out
         doc = np.repeat(np.arange(len(sizes)), sizes)
         place = first[doc] * LEAST_CLASS + (np.arange(len(h)) - at[doc])
         padded = np.full(int(first[-1]) * LEAST_CLASS, _TOP)
@@ -72,7 +86,6 @@ class Items:
             u *= 2
             n = -(-n // 2)
             owner = np.repeat(np.arange(len(sizes)), n)
-        out: set[tuple[int, int]] = set()
         for j, a in enumerate(_multipliers()):
             padded[place] = h * a
             least = padded
@@ -123,7 +136,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
     An item or document of 1 to k - 1 words has one shingle, of all its words; without words it matches nothing. Null
     texts are empty; null ids stay null; repeated rows match each for themselves. No items or documents: no rows.
-    Documents are read once for each pass's worth of items and never shuffled."""
+    Documents are read once for each pass's worth of items and never shuffled; with several passes each is run and
+    written before the next one's items are read, so the driver holds one pass's items."""
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.lower(F.col(item_text_col)).alias("text"))
     n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -138,7 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
             own = _items(*sent.value, k)
             for batch in batches:
                 for part in slices(batch, "text"):
-                    if not own.classes:
+                    if not own.classes and not own.tiny:
                         continue
                     found = own.matches(*text_buffer(part.column(1)), threshold)
                     ids = part.column(0).take(pa.array([d for d, _, _ in found], pa.int64()))
@@ -146,6 +160,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[i] for _, i, _ in found], pa.int64()), pa.array(sizes, pa.int32()), pa.array([s for _, _, s in found], pa.int32()), pa.array([s / m for (_, _, s), m in zip(found, sizes, strict=True)], pa.float64())], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
 
         part = rows.mapInArrow(tidy(look), ROWS)
+        if passes > 1:
+            part = saved(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
