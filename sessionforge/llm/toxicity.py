@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, byte_table, held_out, mix, slices, text_buffer
+from .common import U64, _powers, byte_table, held_out, mix, slices, text_buffer, tidy
 
 ALPHABET = b"abcdefghijklmnopqrstuvwxyz0123456789'"
 #: Feature kinds, the most telling first: the word, then so many first (positive) or last (negative) bytes.
 KINDS = (0, 6, 5, 4, 3, -5, -4, -3)
-#: Labelled documents of each class that are learned from at most, and characters of each.
-TRAIN_EACH_CLASS, TRAIN_CHARS = 1_200, 8_000
+#: Labelled documents of each class that are learned from at most (about, by hash), by their whole texts, and bytes of
+#: them whose features are made at once.
+TRAIN_EACH_CLASS, TRAIN_PART = 2_000, 1 << 20
 #: A marker occurs in this share of toxic documents at least, and this precise: among as many words of toxic as of
 #: clean documents, this share of its occurrences is in toxic ones.
 LEAST_SHARE, PRECISION, MARKERS = 0.004, 0.97, 512
@@ -213,12 +214,32 @@ def markers(h: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return names[chosen]
 
 
+def _parts(at: np.ndarray) -> Iterator[np.ndarray]:
+    """Bounds of runs of texts that hold about TRAIN_PART bytes, or one longer text."""
+    low = 0
+    while low < len(at) - 1:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + TRAIN_PART, "right")) - 1)
+        yield at[low : high + 1]
+        low = high
+
+
+def _all_features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """features() of many texts, part by part into one array: words x kinds, and words' bounds by text."""
+    out, bounds, n = np.empty((len(raw) // 2 + len(at), len(KINDS)), np.uint64), [np.zeros(1, np.int64)], 0
+    for part in _parts(at):
+        h, b, _, _ = features(raw[part[0] : part[-1]], part - part[0])
+        out[n : n + len(h)] = h
+        bounds.append(n + b[1:])
+        n += len(h)
+    return out[:n], np.concatenate(bounds)
+
+
 def fit(texts: list[str], toxic: np.ndarray, ratio: float = 1.0, seed: int = 10) -> Model | None:
     """A model of labelled texts, or None without both classes or without a marker."""
     if not toxic.any() or toxic.all():
         return None
     raw, at = text_buffer(pa.array(texts, pa.large_string()))
-    h, bounds, _, _ = features(raw, at)
+    h, bounds = _all_features(raw, at)
     found = Lookup(markers(h, bounds, toxic))
     if not len(found.known):
         return None
@@ -232,7 +253,6 @@ def fit(texts: list[str], toxic: np.ndarray, ratio: float = 1.0, seed: int = 10)
     counts = counts[(counts >= 2)][-len(names) :]
     known = np.sort(names[np.argsort(-counts, kind="stable")[:FEATURES]])
     find = Lookup(known)
-    ids = np.stack([find(h[:, j]) for j in range(len(KINDS))], axis=1)
     rng = np.random.default_rng(seed)
     positive = np.flatnonzero(label)
     some = rng.choice(positive, min(WINDOWS // 2, len(positive)), replace=False)
@@ -241,13 +261,13 @@ def fit(texts: list[str], toxic: np.ndarray, ratio: float = 1.0, seed: int = 10)
     place = centre[:, None] - rng.integers(0, WINDOW, len(centre))[:, None] + np.arange(WINDOW)
     ok = (place >= bounds[doc[centre]][:, None]) & (place < bounds[doc[centre] + 1][:, None])
     place = np.clip(place, 0, len(h) - 1)
-    x, y = np.where(ok[:, :, None], ids[place], 0), np.where(ok, label[place], False)
+    x = np.where(ok[:, :, None], np.stack([find(h[place, j]) for j in range(len(KINDS))], axis=2), 0)
+    y = np.where(ok, label[place], False)
     weights, transition, start = _learn(x, y, ok, len(known))
     model = Model(known, weights, transition, start)
-    del h, ids, x, y, ok, place
+    del h, x, y, ok, place
     evidence = []
-    for low in range(0, len(toxic), 200):
-        part = at[low : low + 201]
+    for part in _parts(at):
         m, bounds, _, _ = model.tag(raw[part[0] : part[-1]], part - part[0])
         evidence.append(_evidence(m, bounds))
     model.document = _logistic(np.concatenate(evidence), toxic, ratio)
@@ -329,9 +349,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
     if len(counts) < 2:
         return [], 1.0
     share = F.when(F.col("y") == 1, min(1.0, TRAIN_EACH_CLASS / counts[1])).otherwise(min(1.0, TRAIN_EACH_CLASS / counts[0]))
-    picked = known.where((F.xxhash64("i", F.lit(10)).cast("double") / 2.0**64 + 0.5) < share).limit(3 * TRAIN_EACH_CLASS)
+    picked = known.where((F.xxhash64("i", F.lit(10)).cast("double") / 2.0**64 + 0.5) < share)  # about TRAIN_EACH_CLASS of each
     ids = spark.createDataFrame([(r["i"], r["y"]) for r in sorted(picked.collect())], "i long, y int")
-    rows = docs.select(F.col(id_col).alias("i"), F.substring(text_col, 1, TRAIN_CHARS).alias("t")).join(F.broadcast(ids), "i")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i")
     return [(r["t"] or "", r["y"]) for r in sorted(rows.collect(), key=lambda r: (r["i"], r["t"] or ""))], counts[0] / counts[1]
 
 
@@ -345,7 +365,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
+            for part in slices(batch, "text", 1 << 20):
                 n = part.num_rows
                 raw, at = text_buffer(part.column(2))
                 spans: list[list[dict]] = [[] for _ in range(n)]
@@ -365,7 +385,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array((scores >= PREDICT_AT).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))], ["doc_id", "held_out", "score", "predicted", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus, rest).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(tidy(run), ROWS)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
