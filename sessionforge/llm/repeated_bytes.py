@@ -10,8 +10,8 @@ Whole copies are told by their hash first and leave. Of the others:
    side by side: a run of suffixes that agree in LENGTH bytes is a window, its least document the one it stays in.
 4. A document's covered ranges meet its text again, in the partitioning that step 2 made.
 
-Contexts of one gram within a batch are made one before they travel, so a passage that a third of all documents hold
-reaches a reducer once for each batch."""
+Rows go by a name of id and text, so ids may be null or repeated. All contexts of one gram meet in one task, as packed
+arrays of about a hundred bytes each; a passage that very many documents hold word for word is bounded by that."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, mix, saved, slices, text_buffer, without
+from .common import BROADCAST_IDS, U64, _powers, mix, row_name, saved, slices, text_buffer, tidy, without
 from .suffix_array import repeats, suffix_array
 
 LENGTH, GRAM = 50, 16
@@ -33,6 +33,8 @@ STARTS, SIDE = LENGTH - GRAM + 1, LENGTH - GRAM
 WIDTH = 2 * SIDE + GRAM
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 SLICE_BYTES, BATCH_GRAMS, ARRAY_BYTES = 2 << 20, 400_000, 1 << 19
+#: Bytes of text whose grams and contexts one part is meant to hold, and tasks that share rows of one text.
+PART_BYTES, SALTS = 64 << 20, 16
 ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -74,7 +76,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-_GRAMS = pa.schema([("part", pa.int32()), ("grams", pa.binary()), ("place", pa.binary()), ("flags", pa.binary()), ("docs", pa.binary())])
+_GRAMS = pa.schema([("part", pa.int32()), ("grams", pa.binary()), ("place", pa.binary()), ("flags", pa.binary()), ("rows", pa.binary())])
 
 
 def _send_grams(parts: int):
@@ -106,7 +108,7 @@ def _send_grams(parts: int):
             for part in slices(batch, "text", SLICE_BYTES):
                 _, gram, doc = anchors(*text_buffer(part.column(1)))
                 if len(gram):
-                    held.append((gram, _ids(part.column(0))[doc]))
+                    held.append((gram, part.column(0).to_numpy()[doc]))
                 if sum(len(g) for g, _ in held) >= BATCH_GRAMS:
                     yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
                     held.clear()
@@ -117,11 +119,11 @@ def _send_grams(parts: int):
 
 
 def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, gram) of the grams that stand in two documents or more."""
+    """(row, gram) of the grams that stand in two rows or more."""
     cols: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         for r in batch.to_pylist():
-            docs = np.frombuffer(r["docs"], np.int64)
+            docs = np.frombuffer(r["rows"], np.int64)
             cols[0].append(np.frombuffer(r["grams"], np.uint64))
             cols[1].append(docs[np.frombuffer(r["place"], np.uint16 if len(docs) <= 1 << 16 else np.uint32)])
             cols[2].append(np.frombuffer(r["flags"], np.uint8))
@@ -140,12 +142,12 @@ def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     i = np.flatnonzero(keep)
     for low in range(0, len(i), 200_000):
         cut = i[low : low + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(gram[cut].view(np.int64))], ["doc", "gram"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(gram[cut].view(np.int64))], ["row", "gram"])
 
 
 _CONTEXTS = pa.schema([("part", pa.int32()), ("head", pa.binary()), ("docs", pa.binary()), ("bytes", pa.binary())])
 #: One context on its way: its document's place in a list, the gram's place, bytes before and after it that count. The
-#: gram's hash is taken from the bytes again. The list holds ids and hashes of texts, as an id may be repeated.
+#: gram's hash is taken from the bytes again. The list holds ids and names of rows, as an id may be repeated or null.
 _SENT = np.dtype([("local", "<u2"), ("place", "<u4"), ("before", "u1"), ("after", "u1")])
 _HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1")])
 _MOST_DOCS = 1 << 16
@@ -326,7 +328,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (begin[1:] > end[:-1])
             s = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(tag[s]), pa.array(begin[s].astype(np.int32)), pa.array(np.maximum.reduceat(end, s).astype(np.int32))], ["doc", "tag", "begin", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(tag[s]), pa.array(begin[s].astype(np.int32)), pa.array(np.maximum.reduceat(end, s).astype(np.int32))], ["row", "begin", "end"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,26 +347,30 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = np.cumsum(level)[:-1] > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(mine), int(gone.sum()), spans, hashlib.sha256(mine[~gone].tobytes()).hexdigest()))
-            ids = part.column(0)
-            ids = pa.array(_ids(ids), mask=_ids(ids) == LAST)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row.
 
-    Texts are UTF-8 bytes; null is empty. A null id counts as greater than all others. Rows that repeat an id don't
+    Texts are UTF-8 bytes; null is empty. A null id counts as the greatest one. Rows that repeat an id don't
     remove each other's bytes; each is one row of the result. Texts of fewer than LENGTH bytes lose nothing."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hashed = rows.where(F.octet_length("text") >= LENGTH).select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("size"))
-    least = hashed.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least")
-    copies = hashed.join(least, "sha").where("doc > least")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", row_name("id", "text"))
+    size = F.octet_length("text")
+    total = rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    hashed = rows.where(size >= LENGTH).select("doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), size.cast("long").alias("size"))
+    least = saved(hashed.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least"))
+    if least.count() <= BROADCAST_IDS:
+        copies = hashed.join(F.broadcast(least), "sha").where("doc > least")
+    else:  # a text that very many rows have is dealt by salt as well
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        copies = hashed.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"]).where("doc > least")
     # a row is a copy by its text, an id may be repeated: only ids all of whose rows are copies leave here
     rows_of = hashed.join(copies.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.count("*").alias("all"))
     full = copies.groupBy("doc").agg(F.count("*").alias("n")).join(rows_of, "doc").where("n = all").select("doc")
-    short = rows.where(F.octet_length("text") < LENGTH).select("doc").distinct()
+    short = rows.where(size < LENGTH).select("doc").distinct()
     gone = full.join(short, "doc", "left_anti")
 
     gone = saved(gone.where(F.col("doc") != LAST))
@@ -373,13 +379,11 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copied = copied.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"))
 
     rest = without(rows, gone, "doc")
-    grams = rest.mapInArrow(_send_grams(parts), "part int, grams binary, place binary, flags binary, docs binary")
-    grams = grams.repartitionById(parts, F.col("part")).mapInArrow(_shared_grams, "doc long, gram long")
-    by_doc = grams.groupBy("doc").agg(F.collect_list("gram").alias("grams"))
-    contexts = rest.join(by_doc.hint("merge"), "doc").select("doc", "text", "grams", F.xxhash64("text").alias("tag")).mapInArrow(_send_contexts(parts), "part int, head binary, docs binary, bytes binary")
-    ranges = contexts.repartitionById(parts, F.col("part")).mapInArrow(_covered, "doc long, tag long, begin int, end int")
-    ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("tag", "begin", "end")).alias("ranges"))
-    own = F.filter("ranges", lambda r: r["tag"] == F.xxhash64("text"))
-    final = rest.join(ranges.hint("merge"), "doc", "left").select("doc", "text", own.alias("own"))
-    final = final.select("doc", "text", F.col("own.begin").alias("begins"), F.col("own.end").alias("ends")).mapInArrow(_kept, ROWS)
-    return final.unionByName(copied)
+    grams = rest.select("row", "text").mapInArrow(tidy(_send_grams(parts)), "part int, grams binary, place binary, flags binary, rows binary")
+    grams = grams.repartitionById(parts, F.col("part")).mapInArrow(tidy(_shared_grams), "row long, gram long")
+    by_row = grams.groupBy("row").agg(F.collect_list("gram").alias("grams"))
+    contexts = rest.join(by_row.hint("merge"), "row").select("doc", "text", "grams", "row").mapInArrow(tidy(_send_contexts(parts)), "part int, head binary, docs binary, bytes binary")
+    ranges = contexts.repartitionById(parts, F.col("part")).mapInArrow(tidy(_covered), "row long, begin int, end int")
+    ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("own"))
+    final = rest.join(ranges.hint("merge"), "row", "left").select("id", "text", F.col("own.begin").alias("begins"), F.col("own.end").alias("ends"))
+    return final.mapInArrow(tidy(_kept), ROWS).unionByName(copied)
