@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 NEAREST = 20
 SAMPLE, SAMPLE_QUERIES, MOST_LISTS, ROUNDS = 20_000, 400, 4_096, 8
 RECALL, EPSILON, COLUMNS = 0.97, 2.6, 16
@@ -133,9 +135,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = F.xxhash64("vec_id", F.lit(7)).cast("double") / 2.0**64 + 0.5
-    got = rows.where(order < min(1.0, SAMPLE / n)).select("vec_id", F.col("embedding").cast("array<float>")).limit(2 * SAMPLE).toArrow()
+    got = rows.where(order < min(1.0, SAMPLE / n)).select("vec_id", F.col("embedding").cast("array<float>")).toArrow()  # SAMPLE rows are expected
     if got.num_rows < min(n, 100):
-        got = rows.select("vec_id", F.col("embedding").cast("array<float>")).limit(100).toArrow()
+        got = rows.orderBy(order, "vec_id").select("vec_id", F.col("embedding").cast("array<float>")).limit(100).toArrow()
     d = len(got.column(1)[0])
     by_id = np.argsort(got.column(0).to_numpy(), kind="stable")
     sample_ids, sample = got.column(0).to_numpy()[by_id], _matrix(got.column(1), d)[by_id]
@@ -166,7 +168,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
             qi, at = np.nonzero(use)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(qi)), batch.column(1).take(pa.array(qi)), pa.array(best[qi, at].astype(np.int32)), pa.array(tau[qi].astype(np.float64))], ["vec_id", "embedding", "list", "tau"])
 
-    asked = rows.where(is_query).mapInArrow(to_probes, "vec_id long, embedding array<double>, list int, tau double")
+    asked = saved(rows.where(is_query).mapInArrow(to_probes, "vec_id long, embedding array<double>, list int, tau double"))
     probed = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame([(i, max(1, math.ceil(counts.get(i, 0) / BLOCK_VECTORS)), max(1, math.ceil(probed.get(i, 0) / BLOCK_QUERIES))) for i in range(lists) if probed.get(i)], "list int, v int, w int")
 
