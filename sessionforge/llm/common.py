@@ -90,7 +90,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about `most` bytes, or one longer text: bounds a worker's memory."""
     column = batch.column(batch.schema.get_field_index(name))
     _, at = text_buffer(column)
