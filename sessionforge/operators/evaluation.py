@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ensemble as en
+from .popularity import quantiles, tertile
 from .rankers import session_metrics
 
 BLENDED = ["item_knn", "sequential_transitions", "genre_overlap", "title_overlap", "newest_first"]
@@ -79,9 +80,7 @@ def agreement_on_scores(answers: DataFrame) -> DataFrame:
 
 def rarity(counts: DataFrame) -> DataFrame:
     """session_id, n -> stratum by tertiles (interpolated) of the targets' counts."""
-    cut = counts.agg(F.percentile("n", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))  # counts are few distinct numbers
-    s = F.when(F.col("n") <= F.col("q")[0], "rare").when(F.col("n") <= F.col("q")[1], "moderate").otherwise("popular")
-    return counts.join(F.broadcast(cut)).select("session_id", s.alias("stratum"))
+    return counts.select("session_id", tertile(F.col("n"), quantiles(counts, "n", 1 / 3, 2 / 3), ("rare", "moderate", "popular")).alias("stratum"))
 
 
 def end_to_end(means: DataFrame, recall: DataFrame, metrics: list[str]) -> DataFrame:

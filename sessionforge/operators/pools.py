@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import order_hash, uniform_hash
+from ..sources.scratch import saved
 from .ordinals import numbered
 from .sessions import POOL, SEED
 
@@ -22,28 +23,52 @@ def shuffled(chosen: DataFrame, pool_type: str, seed: int = SEED) -> DataFrame:
     return chosen.withColumn("position", place).withColumn("pool_type", F.lit(pool_type))
 
 
-def with_target(negatives: DataFrame, examples: DataFrame) -> DataFrame:
-    """Negatives (session_id, item_id) and their sessions' targets, with split and target."""
-    own = examples.join(negatives.select("session_id").distinct(), "session_id", "left_semi")
-    base = own.select("session_id", "split", "target")
+def with_target(negatives: DataFrame, examples: DataFrame, need: int | None = None) -> DataFrame:
+    """Negatives (session_id, item_id) and their sessions' targets, with split and target.
+
+    need: how many negatives every example must have; one with fewer fails the query. Without it sessions that have no
+    negatives have no pool."""
+    base = examples.select("session_id", "split", "target")
+    if need is None:
+        base = base.join(negatives.select("session_id").distinct(), "session_id", "left_semi")
+    else:
+        n = F.coalesce("n__", F.lit(0))
+        error = F.raise_error(F.concat(F.lit("not enough eligible negatives for "), "session_id")).cast(base.schema["target"].dataType)
+        base = base.join(negatives.groupBy("session_id").agg(F.count("*").alias("n__")), "session_id", "left")
+        base = base.select("session_id", "split", F.when(n >= need, F.col("target")).otherwise(error).alias("target"))
     return negatives.select("session_id", "item_id").join(base, "session_id").unionByName(base.withColumn("item_id", F.col("target")))
 
 
+def outside_history(rows: DataFrame, examples: DataFrame) -> DataFrame:
+    """Rows (session_id, item_id, ...) whose item is neither in the session's history nor its target. Histories meet the
+    rows as ids; they never travel in every row."""
+    known = examples.select("session_id", F.explode(F.array_distinct(F.concat("prefix", F.array("target")))).alias("item_id"))
+    return rows.join(known, ["session_id", "item_id"], "left_anti")
+
+
 def random_pools(examples: DataFrame, catalog: DataFrame, size: int = POOL, seed: int = SEED) -> DataFrame:
     """size - 1 negatives drawn evenly from the catalog, none of the history or the target.
 
     Each session draws catalog numbers by hash, some more than it can lose to its history and to repeats, and keeps the
-    first that count; the catalog is met by its numbers, never crossed."""
-    total = catalog.count()
+    first that count; the catalog is met by its numbers, never crossed. A session that comes up short (its history is
+    nearly all of the catalog, which is then about as small as the history) takes the first of all eligible items in
+    hash order instead; with fewer than size - 1 of them the query fails."""
+    total, need = catalog.count(), size - 1
     listed = numbered(catalog.select("item_id").distinct(), "number", "item_id", rows=total)
     draws = F.sequence(F.lit(0), F.lit(4 * size) + 4 * F.size("prefix"))
-    drawn = examples.select("session_id", "prefix", "target", F.explode(draws).alias("draw"))
+    drawn = examples.select("session_id", F.explode(draws).alias("draw"))
     drawn = drawn.withColumn("number", F.pmod(uniform_hash(F.lit(seed), F.lit("random"), F.col("session_id"), F.col("draw")), F.lit(total)))
-    rows = drawn.join(listed, "number").where(~F.array_contains("prefix", F.col("item_id")) & (F.col("item_id") != F.col("target")))
-    first = rows.groupBy("session_id", "item_id").agg(F.min("draw").alias("draw"))
+    first = outside_history(drawn.join(listed, "number").groupBy("session_id", "item_id").agg(F.min("draw").alias("draw")), examples)
     best = F.row_number().over(Window.partitionBy("session_id").orderBy("draw"))
-    negatives = first.withColumn("n", best).where(F.col("n") < size)
-    return shuffled(with_target(negatives, examples), "random", seed)
+    most = F.count("*").over(Window.partitionBy("session_id"))
+    enough = first.withColumn("n", best).withColumn("all", most).where((F.col("n") <= need) & (F.col("all") >= need)).select("session_id", "item_id")
+    short = saved(examples.join(enough.select("session_id").distinct(), "session_id", "left_anti").select("session_id", "prefix", "target"))
+    if short.isEmpty() or not total:
+        return shuffled(with_target(enough, examples, need), "random", seed)
+    every = short.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("number")).join(listed, "number").select("session_id", "item_id")
+    key = order_hash(F.lit(seed), F.lit("random"), F.lit("rest"), F.col("session_id"), F.col("item_id"))
+    rest = outside_history(every, short).withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(key, "item_id"))).where(F.col("n") <= need)
+    return shuffled(with_target(enough.unionByName(rest.select("session_id", "item_id")), examples, need), "random", seed)
 
 
 def top_popular_pools(examples: DataFrame, popularity: DataFrame, size: int = POOL) -> DataFrame:
@@ -56,11 +81,12 @@ def top_popular_pools(examples: DataFrame, popularity: DataFrame, size: int = PO
     short = head.agg(F.array_sort(F.collect_list(F.struct("r", "item_id"))).alias("head"))
     rows = examples.join(F.broadcast(short))  # one row, of at most size + longest history items
     free = F.filter(F.transform("head", lambda x: x["item_id"]), lambda i: ~F.array_contains(F.col("prefix"), i) & (i != F.col("target")))
-    rows = rows.withColumn("negatives", F.slice(free, 1, size - 1))
+    few = F.raise_error(F.concat(F.lit("not enough eligible negatives for "), "session_id")).cast("array<long>")
+    rows = rows.withColumn("negatives", F.slice(free, 1, size - 1).cast("array<long>")).withColumn("negatives", F.when(F.size("negatives") < size - 1, few).otherwise(F.col("negatives")))
     rows = numbered(rows, "number", "user_id")
     place = (F.col("number") % size).cast("int")
     rows = rows.withColumn("target_position", place)
-    items = F.concat(F.slice("negatives", F.lit(1), place), F.array("target"), F.slice("negatives", place + 1, size))
+    items = F.concat(F.slice("negatives", F.lit(1), place), F.array(F.col("target").cast("long")), F.slice("negatives", place + 1, size))
     return rows.select("session_id", "split", "target", F.posexplode(items).alias("position", "item_id"), F.lit("top_popular").alias("pool_type"))
 
 
@@ -84,19 +110,34 @@ def group_of(genres: Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(genres), "|"), F.lit(""))
 
 
-def matched_negatives(asked: DataFrame, groups: DataFrame, label: str, size: int = POOL, seed: int = SEED) -> DataFrame:
+def places(asked: DataFrame, groups: DataFrame, popularity: DataFrame) -> DataFrame:
+    """asked (session_id, prefix, target, grp) with at, the target's place in its group's order, and listed. A target
+    that the group doesn't have stands before the items of its count, by one pass over the groups' distinct counts."""
+    own = groups.select("grp", F.col("item_id").alias("target"), F.col("place").alias("at"))
+    rows = asked.join(own, ["grp", "target"], "left")
+    known = rows.where("at IS NOT NULL").withColumn("listed", F.lit(True))
+    lost = rows.where("at IS NULL").drop("at").join(popularity.select(F.col("item_id").alias("target"), "n"), "target", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    steps = groups.groupBy("grp", F.col("n").cast("long").alias("n")).agg(F.min("place").alias("step"))
+    ends = groups.groupBy("grp").agg((F.max("place") + 1).alias("end"))
+    both = lost.withColumn("step", F.lit(None).cast("long")).unionByName(steps, allowMissingColumns=True)
+    after = F.min("step").over(Window.partitionBy("grp").orderBy("n").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    found = both.withColumn("at", after).where("session_id IS NOT NULL").join(ends, "grp")
+    return known.unionByName(found.withColumn("at", F.coalesce("at", "end")).withColumn("listed", F.lit(False)).select(*known.columns))
+
+
+def matched_negatives(asked: DataFrame, groups: DataFrame, popularity: DataFrame, label: str, size: int = POOL, seed: int = SEED) -> DataFrame:
     """Negatives near the target in its group's order: session_id, item_id, only of sessions that get all size - 1.
 
     asked: session_id, prefix, target, grp. k of them are below the target, k drawn evenly; each side is drawn from
     its nearest max(3 * count, 30) items outside the history; a side that is too short lends to the other. The band of
     places that can matter is as long as the widest window and the history, and is met by place: an equi-join."""
     widest = max(WINDOW_FACTOR * (size - 1), MIN_WINDOW)
-    anchor = asked.join(groups.select("grp", F.col("item_id").alias("target"), F.col("place").alias("at")), ["grp", "target"])
-    anchor = anchor.withColumn("k", F.pmod(uniform_hash(F.lit(seed), F.lit(label), F.col("session_id")), F.lit(size)).cast("int"))
+    anchor = places(asked, groups, popularity)
     reach = F.lit(widest) + F.size("prefix")
-    band = anchor.select("*", F.explode(F.sequence(F.greatest(F.col("at") - reach, F.lit(0)), F.col("at") + reach)).alias("place"))
-    rows = band.where("place <> at").join(groups.select("grp", "place", "item_id"), ["grp", "place"]).where(~F.array_contains("prefix", F.col("item_id")))
-    rows = rows.withColumn("below", F.col("place") < F.col("at"))
+    band = anchor.select("session_id", "grp", "at", "listed", F.explode(F.sequence(F.greatest(F.col("at") - reach, F.lit(0)), F.col("at") + reach)).alias("place"))
+    rows = band.where("NOT listed OR place <> at").join(groups.select("grp", "place", "item_id"), ["grp", "place"])
+    rows = outside_history(rows, asked).withColumn("below", F.col("place") < F.col("at"))
+    rows = rows.withColumn("k", F.pmod(uniform_hash(F.lit(seed), F.lit(label), F.col("session_id")), F.lit(size)).cast("int"))
     near = Window.partitionBy("session_id", "below").orderBy(F.abs(F.col("place") - F.col("at")))
     rows = rows.withColumn("near", F.row_number().over(near))
     side = Window.partitionBy("session_id")
@@ -113,8 +154,9 @@ def matched_negatives(asked: DataFrame, groups: DataFrame, label: str, size: int
 
 def popularity_matched_pools(examples: DataFrame, popularity: DataFrame, catalog: DataFrame, size: int = POOL, seed: int = SEED) -> DataFrame:
     groups = ranked_groups(catalog, popularity, None, seed)
-    negatives = matched_negatives(examples.withColumn("grp", F.lit("")), groups, "matched", size, seed)
-    return shuffled(with_target(negatives, examples), "popularity_matched", seed)
+    asked = examples.select("session_id", "prefix", "target", F.lit("").alias("grp"))
+    negatives = saved(matched_negatives(asked, groups, popularity, "matched", size, seed))
+    return shuffled(with_target(negatives, examples, size - 1), "popularity_matched", seed)
 
 
 def attribute_matched_pools(examples: DataFrame, popularity: DataFrame, items: DataFrame, size: int = POOL, seed: int = SEED) -> DataFrame:
@@ -122,10 +164,11 @@ def attribute_matched_pools(examples: DataFrame, popularity: DataFrame, items: D
     and attribute_matched is false. items: item_id, genres, the catalog."""
     own = examples.join(items.select(F.col("item_id").alias("target"), group_of(F.col("genres")).alias("grp")), "target", "left").withColumn("grp", F.coalesce("grp", F.lit("")))
     groups = ranked_groups(items, popularity, items, seed)
-    first = matched_negatives(own.where("grp <> ''"), groups, "attribute_matched", size, seed)
-    rest = examples.join(first.select("session_id").distinct(), "session_id", "left_anti").withColumn("grp", F.lit(""))
-    second = matched_negatives(rest, ranked_groups(items, popularity, None, seed), "attribute_matched:fallback", size, seed)
-    both = with_target(first, examples).withColumn("attribute_matched", F.lit(True)).unionByName(with_target(second, examples).withColumn("attribute_matched", F.lit(False)))
+    first = saved(matched_negatives(own.where("grp <> ''").select("session_id", "prefix", "target", "grp"), groups, popularity, "attribute_matched", size, seed))
+    rest = saved(examples.join(first.select("session_id").distinct(), "session_id", "left_anti"))
+    asked = rest.select("session_id", "prefix", "target", F.lit("").alias("grp"))
+    second = matched_negatives(asked, ranked_groups(items, popularity, None, seed), popularity, "attribute_matched:fallback", size, seed)
+    both = with_target(first, examples).withColumn("attribute_matched", F.lit(True)).unionByName(with_target(second, rest, size - 1).withColumn("attribute_matched", F.lit(False)))
     return shuffled(both, "attribute_matched", seed)
 
 

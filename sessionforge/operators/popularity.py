@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import numbered
 from .sessions import ordered, pairs
 
 
@@ -31,17 +34,32 @@ def norms(e: DataFrame) -> DataFrame:
     return e.groupBy("item_id").agg(F.sqrt(F.count("*")).alias("norm"))
 
 
+def quantiles(df: DataFrame, column: str, *shares: float) -> list[float | None]:
+    """Interpolated quantiles of a column's values, nulls aside; None without any.
+
+    The values around each place are read off a dense numbering, so no task holds all values."""
+    rows = df.select(column).where(F.col(column).isNotNull())
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    spots = [(math.floor(s * (n - 1)), s * (n - 1)) for s in shares]
+    wanted = sorted({k for low, _ in spots for k in (low, min(low + 1, n - 1))})
+    at = {r["n__"]: float(r[column]) for r in numbered(rows, "n__", column, rows=n).where(F.col("n__").isin(wanted)).collect()}
+    return [at[low] + (at[min(low + 1, n - 1)] - at[low]) * (spot - low) for low, spot in spots]
+
+
+def tertile(value: Column, cuts: list[float | None], names: tuple[str, str, str]) -> Column:
+    return F.when(value <= F.lit(cuts[0]), names[0]).when(value <= F.lit(cuts[1]), names[1]).when(value.isNotNull(), names[2])
+
+
 def audience(pop: DataFrame) -> DataFrame:
     """niche, moderate or popular by tertiles of the items' counts (interpolated)."""
-    cut = pop.agg(F.percentile("n", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    rows = pop.join(F.broadcast(cut))  # one row
-    return rows.select("item_id", "n", F.when(F.col("n") <= F.col("q")[0], "niche").when(F.col("n") <= F.col("q")[1], "moderate").otherwise("popular").alias("audience"))
+    return pop.select("item_id", "n", tertile(F.col("n"), quantiles(pop, "n", 1 / 3, 2 / 3), ("niche", "moderate", "popular")).alias("audience"))
 
 
 def trend(train: DataFrame, least: int = 5) -> DataFrame:
     """rising, steady or falling: an item's share of rows in the last quarter of time against the share over all."""
-    cut = train.agg(F.percentile("timestamp", 0.75).alias("cut"))
-    rows = train.join(F.broadcast(cut)).withColumn("late", F.col("timestamp") >= F.col("cut"))
+    rows = train.withColumn("late", F.col("timestamp") >= F.lit(quantiles(train, "timestamp", 0.75)[0]))
     share = rows.agg(F.avg(F.col("late").cast("int")).alias("all"))
     by = rows.groupBy("item_id").agg(F.count("*").alias("n"), F.avg(F.col("late").cast("int")).alias("own")).join(F.broadcast(share))
     ratio = F.round(F.col("own") / F.col("all"), 9)
@@ -50,9 +68,8 @@ def trend(train: DataFrame, least: int = 5) -> DataFrame:
 
 def price_tier(items: DataFrame) -> DataFrame:
     """low, mid or high by tertiles of the prices above 0; null without a price."""
-    cut = items.where("price > 0").agg(F.percentile("price", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    rows = items.join(F.broadcast(cut), how="left")
-    return rows.select("item_id", F.when(~(F.col("price") > 0) | F.col("price").isNull(), None).when(F.col("price") <= F.col("q")[0], "low").when(F.col("price") <= F.col("q")[1], "mid").otherwise("high").alias("tier"))
+    cuts = quantiles(items.where("price > 0"), "price", 1 / 3, 2 / 3)
+    return items.select("item_id", F.when(F.col("price") > 0, tertile(F.col("price"), cuts, ("low", "mid", "high"))).alias("tier"))
 
 
 def gaps(df: DataFrame) -> DataFrame:

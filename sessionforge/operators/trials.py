@@ -65,6 +65,35 @@ def parsed(rows: DataFrame) -> DataFrame:
     return out.withColumn("target_rank", F.nullif(F.array_position("ranked", F.col("target")), F.lit(0)).cast("int"))
 
 
+def sampled(sessions: DataFrame, n: int, seed: int = SEED) -> DataFrame:
+    """The first n sessions in a seeded order, with their place k. A sample is what is asked for."""
+    key = order_hash(F.lit(seed), F.col("session_id"))
+    rows = sessions.select("session_id").distinct().orderBy(key).limit(n)
+    return rows.withColumn("k", F.row_number().over(Window.orderBy(key)))  # n rows
+
+
+def trial_id(session: Column, member: Column) -> Column:
+    """session::variant::context."""
+    return F.concat_ws("::", session, F.split(member, ":")[0], F.split(member, ":")[1])
+
+
+def single_records(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Records of single-prompt trials out of parsed answers: a null response is a request that failed."""
+    ok = F.col("response").isNotNull()
+    error = F.when(ok, F.col("parse_error")).otherwise("request failed")
+    own = rows.join(sessions.select("session_id", "split"), "session_id")
+    return own.select(trial_id(F.col("session_id"), F.col("member")).alias("trial_id"), "session_id", "split", "member", "target", "candidates", "scores", F.when(error.isNull(), F.col("target_rank")).alias("target_rank"), error.isNull().alias("parse_success"), ok.alias("request_success"), error.alias("error"))
+
+
+def single_evaluation(rows: DataFrame) -> DataFrame:
+    """By member: trials, valid ones, mean metrics, and how many answers didn't parse and requests failed."""
+    from .records import condition_summary
+
+    base = condition_summary(rows.select("member", F.col("target_rank").alias("rank")), "member")
+    failed = rows.groupBy("member").agg(F.count_if(F.col("request_success") & ~F.col("parse_success")).alias("parse_failures"), F.count_if(~F.col("request_success")).alias("request_failures"))
+    return base.join(failed, "member")
+
+
 def generated(prompts: DataFrame, generate, model: str) -> DataFrame:
     """Answers of a model client to rows (session_id, member, system_message, user_message): the one place where Python
     runs over rows. generate(system, user) gives text; a failure is a record with its message, not a lost row."""

@@ -61,10 +61,13 @@ PARTS = {
     "edges": "SELECT DISTINCT user_id, item_id FROM train WHERE item_id IN (SELECT item_id FROM itm)",
     "norms": "SELECT item_id, sqrt(count(*)) AS norm FROM edges GROUP BY item_id",
     "listed": "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS number FROM itm",
-    "rand_n": f"""SELECT session_id, item_id FROM (SELECT session_id, item_id, row_number() OVER (PARTITION BY session_id ORDER BY draw) AS r FROM (
+    "rand_d": f"""SELECT session_id, item_id FROM (SELECT session_id, item_id, row_number() OVER (PARTITION BY session_id ORDER BY draw) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM (
       SELECT d.session_id, l.item_id, min(draw) AS draw FROM (SELECT *, {u('0', "'random'", 'session_id', 'draw')} % (SELECT count(*) FROM listed) AS number
         FROM (SELECT session_id, prefix, target, unnest(range(0, 81 + 4 * len(prefix))) AS draw FROM clean)) d JOIN listed l ON l.number = d.number
-      WHERE NOT list_contains(d.prefix, l.item_id) AND l.item_id <> d.target GROUP BY ALL)) WHERE r < 20""",
+      WHERE NOT list_contains(d.prefix, l.item_id) AND l.item_id <> d.target GROUP BY ALL)) WHERE r < 20 AND n >= 19""",
+    "rand_n": f"""SELECT * FROM rand_d UNION ALL SELECT session_id, item_id FROM (
+      SELECT c.session_id, i.item_id, row_number() OVER (PARTITION BY c.session_id ORDER BY {order('0', "'random'", "'rest'", 'c.session_id', 'i.item_id')}, i.item_id) AS r
+      FROM clean c CROSS JOIN itm i WHERE c.session_id NOT IN (SELECT session_id FROM rand_d) AND NOT list_contains(c.prefix, i.item_id) AND i.item_id <> c.target) WHERE r < 20""",
     "rand": _pool("rand_n", "random"),
     "base": f"SELECT i.item_id, i.genres, coalesce(p.n, 0) AS n, coalesce(s.first_seen, 4611686018427387904) AS seen, {order('0', 'i.item_id')} AS tie FROM itm i LEFT JOIN pop p USING (item_id) LEFT JOIN seen s USING (item_id)",
     "all_g": "SELECT '' AS grp, item_id, n, row_number() OVER (ORDER BY n, tie, item_id) - 1 AS place FROM base",

@@ -151,10 +151,19 @@ def crc_split(spark, sf_dir):
     return Bench(spark, sf_dir).clean.select("session_id", sessions.split_by_crc(F.col("session_id")).alias("split"))
 
 
-@query()
+def _core(k: int, rounds: int) -> str:
+    """The core's rows after so many rounds, of which the last change nothing."""
+    parts = ["core_0 AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"half_{i} AS (SELECT * FROM core_{i - 1} WHERE item_id IN (SELECT item_id FROM core_{i - 1} GROUP BY item_id HAVING count(*) >= {k}))")
+        parts.append(f"core_{i} AS (SELECT * FROM half_{i} WHERE user_id IN (SELECT user_id FROM half_{i} GROUP BY user_id HAVING count(*) >= {k}))")
+    return f"WITH {', '.join(parts)} SELECT user_id, item_id FROM core_{rounds}"
+
+
+@query(_core(20, 10))
 def k_core(spark, sf_dir):
     rows = src.interactions(spark, sf_dir).select("user_id", "item_id").distinct()
-    return sessions.k_core(rows, 25, saved)
+    return sessions.k_core(rows, 20, saved)
 
 
 # Statistics of items -------------------------------------------------------------------------------------------------
@@ -465,9 +474,8 @@ def rarity_strata(spark, sf_dir):
     b = Bench(spark, sf_dir)
     scores = b.ranker_scores(b.matched(), ["item_knn"])
     rr = rankers.session_metrics(scores, b.clean).join(b.clean.select("session_id", F.col("target").alias("item_id")), "session_id").join(b.pop, "item_id", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    cut = rr.agg(F.percentile("c", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    s = F.when(F.col("c") <= F.col("q")[0], "rare").when(F.col("c") <= F.col("q")[1], "mid").otherwise("common")
-    return rr.join(F.broadcast(cut)).groupBy(s.alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg("rr"), 6).alias("rr"))
+    s = pop.tertile(F.col("c"), pop.quantiles(rr, "c", 1 / 3, 2 / 3), ("rare", "mid", "common"))
+    return rr.groupBy(s.alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg("rr"), 6).alias("rr"))
 
 
 @query(sql("""SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS shared, count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a IS NULL) AS only_right, round(avg(1 / a - 1 / b), 6) AS gain FROM (

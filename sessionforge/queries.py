@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import context, registry, reports  # noqa: F401  (context and reports register their queries)
+from .plans import catalogs, context, registry, reports  # noqa: F401  (they register their queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registry.QUERIES
 ORACLE_SQL: dict[str, str] = registry.ORACLE_SQL

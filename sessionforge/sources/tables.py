@@ -92,9 +92,13 @@ def read_metadata(spark: SparkSession, path: str, strict: bool = True) -> DataFr
 
 def wanted_metadata(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Metadata of wanted items (parent_asin): the id is cut out of the line and looked up before any JSON is parsed."""
+    return wanted_lines(spark, path, wanted, METADATA)
+
+
+def wanted_lines(spark: SparkSession, path: str, wanted: DataFrame, schema: T.StructType) -> DataFrame:
     lines = spark.read.text(path).withColumn("parent_asin", F.regexp_extract("value", r'"parent_asin":\s*"([^"]+)"', 1))
     kept = lines.join(wanted.select("parent_asin").distinct(), "parent_asin", "left_semi")
-    return kept.select(F.from_json("value", METADATA).alias("m")).where("m IS NOT NULL").select("m.*")
+    return kept.select(F.from_json("value", schema).alias("m")).where("m IS NOT NULL").select("m.*")
 
 
 def game_items(metadata: DataFrame, items_map: DataFrame) -> DataFrame:
