@@ -104,15 +104,16 @@ class CrossParser:
                     link[q] = link[cur] = copy
             last = cur
         w = self.width
-        rows = np.full((len(nexts), w), -1, np.int64)
+        rows = np.full((len(nexts), w), -1, np.int32)
         for s, d in enumerate(nexts):
             if d:
                 rows[s, list(d)] = list(d.values())
+        del nexts
         again = np.where(rows[0] >= 0, rows[0], 0)  # a phrase ends and the next one begins with this symbol
-        out = np.where(rows >= 0, rows * w * 2, again * w * 2 + 1)
-        out[:, 0] = np.arange(len(nexts)) * w * 2
+        out = np.where(rows >= 0, rows * np.int32(w * 2), again * np.int32(w * 2) + np.int32(1))
+        out[:, 0] = np.arange(len(rows)) * w * 2
         out[0, 1:] = np.where(rows[0, 1:] >= 0, rows[0, 1:] * w * 2, 1)
-        return out.astype(np.int32).ravel()
+        return out.ravel()
 
     def phrases(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) under each language (columns), and the symbols read of each text."""

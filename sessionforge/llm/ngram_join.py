@@ -41,13 +41,15 @@ COMMON, VERIFY = 0.01, 20.0
 #: Spare segments of the exact way, as a share of H + 1.
 SPARE = 0.3
 #: Index entries that travel together, and sets of one key that meet in one block.
-BATCH_ENTRIES, BLOCK_SETS = 400_000, 512
+BATCH_ENTRIES, BLOCK_SETS = 200_000, 512
 #: Shingles of distinct sets whose index entries one part of the index is meant to hold.
-PART_SHINGLES = 3_000_000
+PART_SHINGLES = 500_000
 #: Bits of a sketch at most: long sets meet by chance so seldom that they need no closer bound.
 SKETCH_BITS = 4_096
 #: Sets of a group up to which all its pairs are made at once with those of other groups.
 SMALL_GROUP = 24
+#: Rows of groups that are gone through at once.
+HELD_ROWS = 8_000
 #: Rounds of nearest partners before the last one, at most.
 ROUNDS = 3
 #: A round that finds less than one link for so many known ones is the last of them.
@@ -426,7 +428,7 @@ def _close(similarity: Fraction, nearest_only: bool):
             if batch is not None:
                 new = pa.Table.from_batches([batch])
                 held = new if held is None else pa.concat_tables([held, new])
-                if held.num_rows < 20_000:
+                if held.num_rows < HELD_ROWS:
                     continue
             if held is None or not held.num_rows:
                 continue
