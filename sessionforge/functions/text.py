@@ -28,18 +28,23 @@ def title_tokens(title: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS)))
 
 
+#: What is cut off a title to get its series.
+TITLE_YEAR, BRACKETS, SUBTITLE = r"\([0-9]{4}\)\s*$", r"\[.*?\]|\(.*?\)", r":| - "
+MOVED_ARTICLE, NUMBER_AT_END = r"(?i),\s*(the|a|an)\s*$", r"(?i)\s+([0-9]+|ii|iii|iv|v|vi)\s*$"
+
+
 def series_base(title: Column) -> Column:
     """The stem that titles of one series share: no year, brackets, subtitle, moved article or number at the end."""
-    s = F.regexp_replace(F.regexp_replace(title, r"\([0-9]{4}\)\s*$", ""), r"\[.*?\]|\(.*?\)", "")
-    s = F.trim(F.get(F.split(s, r":| - "), F.lit(0)))
-    s = F.regexp_replace(s, r"(?i),\s*(the|a|an)\s*$", "")
-    s = F.regexp_replace(F.trim(s), r"(?i)\s+([0-9]+|ii|iii|iv|v|vi)\s*$", "")
+    s = F.regexp_replace(F.regexp_replace(title, TITLE_YEAR, ""), BRACKETS, "")
+    s = F.trim(F.get(F.split(s, SUBTITLE), F.lit(0)))
+    s = F.regexp_replace(s, MOVED_ARTICLE, "")
+    s = F.regexp_replace(F.trim(s), NUMBER_AT_END, "")
     return F.lower(normalised_space(s))
 
 
 def series_text(title: Column) -> Column:
     """A title's words before its subtitle, without the year: how a series is shown."""
-    return F.trim(F.get(F.split(F.regexp_replace(title, r"\([0-9]{4}\)\s*$", ""), r":| - "), F.lit(0)))
+    return F.trim(F.get(F.split(F.regexp_replace(title, TITLE_YEAR, ""), SUBTITLE), F.lit(0)))
 
 
 def ordinal_text(n: Column) -> Column:

@@ -440,10 +440,10 @@ def history_cuts(spark, sf_dir):
     return en.history_cuts(Bench(spark, sf_dir).clean.select(F.size("prefix").alias("length")))
 
 
-_PAIRS = """SELECT session_id, max(rr) FILTER (ranker = 'item_knn') AS a, max(rr) FILTER (ranker = 'popularity') AS b FROM (""" + metrics(_JOINED, "ranker") + ") GROUP BY session_id"
+RANKER_PAIRS = """SELECT session_id, max(rr) FILTER (ranker = 'item_knn') AS a, max(rr) FILTER (ranker = 'popularity') AS b FROM (""" + metrics(_JOINED, "ranker") + ") GROUP BY session_id"
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
+def ranker_pairs(spark, sf_dir) -> DataFrame:
     b = Bench(spark, sf_dir)
     rr = rankers.session_metrics(b.ranker_scores(b.matched(), ["item_knn", "popularity"]), b.clean, "ranker")
     rr = rr.groupBy("session_id").agg(F.max(F.when(F.col("ranker") == "item_knn", F.col("rr"))).alias("a"), F.max(F.when(F.col("ranker") == "popularity", F.col("rr"))).alias("b"))
@@ -451,14 +451,9 @@ def _pairs(spark, sf_dir) -> DataFrame:
 
 
 @query(sql(f"""SELECT 'item_knn - popularity' AS comparison, count(*) AS n, round(avg(a - b), 9) AS mean, round(stddev_samp(a - b), 9) AS sd, round(avg(a - b) / stddev_samp(a - b), 9) AS effect,
-  count(*) FILTER (a > b) AS improved, count(*) FILTER (a < b) AS worsened, count(*) FILTER (a = b) AS tied FROM ({_PAIRS})""", pool="SELECT * FROM match"))
+  count(*) FILTER (a > b) AS improved, count(*) FILTER (a < b) AS worsened, count(*) FILTER (a = b) AS tied FROM ({RANKER_PAIRS})""", pool="SELECT * FROM match"))
 def effect_sizes(spark, sf_dir):
-    return st.effect_sizes(_pairs(spark, sf_dir))
-
-
-@query()
-def paired_tests(spark, sf_dir):
-    return st.holm(st.paired_tests(_pairs(spark, sf_dir)), "p_flip")
+    return st.effect_sizes(ranker_pairs(spark, sf_dir))
 
 
 @query("SELECT name, p::DOUBLE AS p, p_holm::DOUBLE AS p_holm FROM (VALUES ('a', 0.01, 0.03), ('b', 0.04, 0.08), ('c', 0.5, 0.5)) v(name, p, p_holm)")
@@ -490,7 +485,7 @@ def model_comparison(spark, sf_dir):
 
 # Text rules: literal cases and their results --------------------------------------------------------------------------
 
-_TITLES = [("Shrek 2 (2004)", "shrek", "2004"), ("Godfather, The (1972)", "godfather", "1972"), ("Halo: Reach [Xbox]", "halo", "unknown"), ("Rocky III", "rocky", "unknown"), ("Alien - Director's Cut", "alien", "unknown")]
+_TITLES = [("Harbor Lights 2 (1998)", "harbor lights", "1998"), ("Long Winter, The (1971)", "long winter", "1971"), ("Nova: First Dawn [PC]", "nova", "unknown"), ("Iron Coast III", "iron coast", "unknown"), ("Driftwood - Extended Cut", "driftwood", "unknown")]
 _PRICES = [("$12.99", 12.99), ("1,299.50 USD", 1299.5), ("0", None), ("from 5", 5.0), ("none", None)]
 _PATHS = [("Video Games|Xbox One|Games", "Xbox One"), ("Video Games|Legacy Systems|Atari 2600", "Legacy Systems|Atari 2600"), ("(unknown)", None), ("Video Games|Games", None)]
 

@@ -12,7 +12,7 @@ from ..operators import pools, rankers, records, trials
 from ..operators import popularity as pop
 from ..operators import statistics as st
 from .oracle import PARTS, means, metrics, order, sql, u
-from .registry import Bench, query
+from .registry import RANKER_PAIRS, Bench, query, ranker_pairs
 
 #: The simulated models: the seed of a model's answers, and of how many answers one is broken.
 MODELS = {"small": (0, 20), "large": (1, 50)}
@@ -129,6 +129,11 @@ def _families(pairs: DataFrame) -> DataFrame:
     return st.holm(rows, "p_flip", "family").withColumn("p_holm", F.round("p_holm", 6))
 
 
+@query(sql("SELECT *, least(1.0, p_flip) AS p_holm FROM tested", pool="SELECT * FROM match", **_tests(f"SELECT 'item_knn - popularity' AS comparison, session_id, a, b FROM ({RANKER_PAIRS})")))
+def paired_tests(spark, sf_dir):
+    return st.holm(st.paired_tests(ranker_pairs(spark, sf_dir)), "p_flip")
+
+
 # The ensemble report -------------------------------------------------------------------------------------------------
 
 

@@ -82,7 +82,7 @@ def test_text_rules(spark):
     kinds = [("Show Season 2", [], None, "tv"), ("Film", ["Movies"], None, "movie"), ("Show Season 1", ["Movies"], None, None), ("Clip", [], 10, None), ("Long", [], 300, "tv"), ("Big Collection", [], 300, None), ("Film", [], 100, "movie")]
     for title, labels, minutes, want in kinds:
         assert one(spark, tx.media_type(F.lit(title), F.array(*map(F.lit, labels)).cast("array<string>"), F.lit(minutes).cast("int"))) == want
-    assert one(spark, tx.creator(F.lit(None).cast("string"), F.lit("John Barry  (Composer),  Barry (X)    Format: Audio CD"))) == "John Barry"
+    assert one(spark, tx.creator(F.lit(None).cast("string"), F.lit("Ada  Holm  (Pianist),  Quartet (X)    Format: Audio CD"))) == "Ada Holm"
     assert one(spark, tx.short(F.lit("x" * 50))) == "x" * 39 + "…" and one(spark, tx.ordinal_text(F.lit(4))) == "4th most recent"
     assert one(spark, tx.display_title(F.lit("A"), F.lit(""))) == "A" and one(spark, tx.long_tail_weight(F.lit(5), F.lit(5), F.lit(50))) == 0.7
 
@@ -156,6 +156,88 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, tables.read_popularity(spark, str(tmp_path / "pop")).collect())) == [(1, 9), (3, 4)]
 
 
+def test_random_pools_of_small_catalogs(spark):
+    catalog = spark.range(25).select(F.col("id").alias("item_id"))
+    examples = spark.createDataFrame([(i, f"user-{i}", [0, 1, 2, 3, 4], 5 + i % 20, "test") for i in range(60)], "user_id long, session_id string, prefix array<long>, target long, split string")
+    got = pools.random_pools(examples, catalog).groupBy("session_id").agg(F.count_distinct("item_id").alias("n"), F.min("item_id").alias("least")).collect()
+    assert len(got) == 60 and all(r["n"] == 20 and r["least"] == 5 for r in got)  # exactly 19 negatives exist
+    with pytest.raises(Exception, match="not enough eligible negatives"):
+        pools.random_pools(examples, catalog.limit(24)).collect()
+
+
+def test_targets_outside_the_catalog(spark):
+    catalog = spark.range(100).select(F.col("id").alias("item_id"))
+    pop = spark.range(101).select(F.col("id").alias("item_id"), F.when(F.col("id") == 100, 50).otherwise(F.col("id")).cast("long").alias("n"))
+    examples = spark.createDataFrame([(1, "user-1", [7, 8], 100, "test"), (2, "user-2", [7], 60, "test")], "user_id long, session_id string, prefix array<long>, target long, split string")
+    got = {r["session_id"]: r["items"] for r in pools.popularity_matched_pools(examples, pop, catalog).groupBy("session_id").agg(F.collect_list("item_id").alias("items")).collect()}
+    assert len(got["user-1"]) == len(got["user-2"]) == 20 and 100 in got["user-1"]
+    assert all(abs(i - 50) <= 60 for i in got["user-1"] if i != 100)
+
+
+def test_matched_pools_refuse(spark):
+    catalog = spark.range(15).select(F.col("id").alias("item_id"))
+    examples = spark.createDataFrame([(1, "user-1", [1], 2, "test")], "user_id long, session_id string, prefix array<long>, target long, split string")
+    with pytest.raises(Exception, match="not enough eligible negatives"):
+        pools.popularity_matched_pools(examples, catalog.withColumn("n", F.lit(1).cast("long")), catalog).collect()
+
+
+def test_quantiles(spark):
+    from sessionforge.operators.popularity import quantiles
+
+    df = spark.range(10).select(F.col("id").alias("x"))
+    assert quantiles(df, "x", 1 / 3, 2 / 3) == [3.0, 6.0] and quantiles(df.limit(0), "x", 0.5) == [None]
+
+
+def test_hashed_tests(spark):
+    rows = spark.createDataFrame([("c", f"s{i}", 1.0 + i % 3, 1.0) for i in range(30)] + [("z", f"s{i}", 1.0, 1.0) for i in range(5)], "comparison string, session_id string, a double, b double")
+    got = {r["comparison"]: r for r in st.paired_tests(rows, n_flips=2_000, n_boot=500).collect()}
+    c, z = got["c"], got["z"]
+    assert c["n"] == 30 and c["mean"] == 1.0 and 0.6 < c["low"] < 1.0 < c["high"] < 1.4 and c["p_flip"] < 0.01 and c["p_wilcoxon"] < 0.001
+    assert z["p_flip"] == 1.0 and z["statistic"] is None and z["p_wilcoxon"] is None
+    base = np.arange(2_000) * 104_729 + 17
+    times = np.searchsorted(np.array(st.POISSON), st.draws(base, st.RESAMPLES_FROM, 50), "right")
+    assert abs(times.mean() - 1) < 0.03 and abs(times.var() - 1) < 0.05 and abs((st.draws(base, 0, 50) % 2).mean() - 0.5) < 0.02
+
+
+def test_kendall(spark):
+    rows = [("s", "a", i, float(i)) for i in range(6)] + [("s", "b", i, float(-i)) for i in range(6)] + [("s", "c", i, float(i // 2)) for i in range(6)] + [("t", m, i, 1.0) for m in "ab" for i in range(3)]
+    got = {(r["session_id"], r["a"], r["b"]): r["tau"] for r in ensemble.kendall(spark.createDataFrame(rows, "session_id string, member string, item_id int, v double"), "v").collect()}
+    assert got[("s", "a", "b")] == -1.0 and got[("t", "a", "b")] == 0.0
+    assert got[("s", "a", "c")] == pytest.approx(12 / (15 * 12) ** 0.5, abs=1e-9)
+
+
+def test_models_must_match(spark):
+    from sessionforge.operators import records
+
+    schema = "session_id string, model string, target long, length int, attempted int, broken int, single int, reliability_weighted int, mean_tau double, failure_reason string"
+    left = spark.createDataFrame([("a", "m", 1, 5, 4, 0, 1, 2, 0.5, None), ("b", "m", 2, 5, 4, 1, 3, 1, 0.1, None), ("c", "m", 3, 5, 4, 3, None, None, None, "few")], schema)
+    right = spark.createDataFrame([("a", "n", 1, 5, 4, 0, 2, 2, 0.4, None), ("b", "n", 2, 5, 4, 0, 1, 1, 0.2, None), ("d", "n", 4, 5, 4, 0, 1, 1, 0.9, None)], schema)
+    got = records.alignment(records.matched(left, right)).first().asDict()
+    assert got == {"left_trials": 3, "right_trials": 3, "matched": 2, "only_left": 1, "only_right": 1, "analysis": 2, "complete": 1}
+    with pytest.raises(Exception, match="different data"):
+        records.matched(left, right.withColumn("target", F.lit(9).cast("long"))).collect()
+    with pytest.raises(ValueError, match="one model"):
+        records.matched(left.union(right.where("session_id = 'd'")), right)
+    with pytest.raises(ValueError, match="two records"):
+        records.matched(left.union(left), right)
+
+
+def test_prompts_refuse(spark):
+    from sessionforge.operators import prompts
+
+    items = spark.createDataFrame([(1, "One", ["g"]), (2, "Two", ["g"])], "item_id long, title string, genres array<string>")
+    ask = lambda prefix, candidates: spark.createDataFrame([("s", 1, prefix, candidates)], "session_id string, user_id long, prefix array<long>, candidates array<long>")
+    text = prompts.prompts(ask([1], [2]), items, ["next_step_v2"], "context_genre_v1", "game").first()
+    assert "1. title=One; genres=g" in text["user_message"] and "exactly 1 candidates" in text["user_message"] and "last few games" in text["user_message"]
+    for bad, why in ((ask([], [1]), "no history"), (ask([1], []), "no candidates"), (ask([1], [2, 2]), "candidates repeat"), (ask([1], [3]), "no title")):
+        with pytest.raises(Exception, match=why):
+            prompts.prompts(bad, items, ["next_step_v2"]).collect()
+    with pytest.raises(ValueError):
+        prompts.prompts(ask([1], [2]), items, ["unknown"])
+    with pytest.raises(ValueError):
+        prompts.prompts(ask([1], [2]), items, ["next_step_v2"], "context_crowd_v2")
+
+
 def test_resumed_log(spark, tmp_path):
     path = str(tmp_path / "log")
     first = spark.createDataFrame([("a", "m", 1), ("b", "m", 2)], "trial_id string, model string, v int")
