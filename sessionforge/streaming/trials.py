@@ -15,9 +15,22 @@ def trials(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logged(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends each trial once (its first record) to a Parquet log, over all that is there now."""
-    once = rows.withWatermark("finished", "1 day").dropDuplicatesWithinWatermark(["trial_id"])
-    return once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+    """Appends each trial once to a Parquet log, over all that is there now: of a batch its first record by time, and none
+    that the log has already, however long ago it was written. A batch that runs again after a failure adds nothing twice."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        first = batch.groupBy("trial_id").agg(F.min_by(F.struct(*batch.columns), F.struct("finished", F.xxhash64(*batch.columns))).alias("r")).select("r.*")
+        log = batch.sparkSession.read.schema(SCHEMA)
+        if _written(batch.sparkSession, out):
+            first = first.join(log.parquet(out).select("trial_id"), "trial_id", "left_anti").select(*batch.columns)
+        first.write.mode("append").parquet(out)
+
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def hourly(rows: DataFrame) -> DataFrame:
