@@ -61,7 +61,7 @@ def random_pools(examples: DataFrame, catalog: DataFrame, size: int = POOL, seed
     first = outside_history(drawn.join(listed, "number").groupBy("session_id", "item_id").agg(F.min("draw").alias("draw")), examples)
     best = F.row_number().over(Window.partitionBy("session_id").orderBy("draw"))
     most = F.count("*").over(Window.partitionBy("session_id"))
-    enough = first.withColumn("n", best).withColumn("all", most).where((F.col("n") <= need) & (F.col("all") >= need)).select("session_id", "item_id")
+    enough = saved(first.withColumn("n", best).withColumn("all", most).where((F.col("n") <= need) & (F.col("all") >= need)).select("session_id", "item_id"))
     short = saved(examples.join(enough.select("session_id").distinct(), "session_id", "left_anti").select("session_id", "prefix", "target"))
     if short.isEmpty() or not total:
         return shuffled(with_target(enough, examples, need), "random", seed)
@@ -167,7 +167,7 @@ def attribute_matched_pools(examples: DataFrame, popularity: DataFrame, items: D
     first = saved(matched_negatives(own.where("grp <> ''").select("session_id", "prefix", "target", "grp"), groups, popularity, "attribute_matched", size, seed))
     rest = saved(examples.join(first.select("session_id").distinct(), "session_id", "left_anti"))
     asked = rest.select("session_id", "prefix", "target", F.lit("").alias("grp"))
-    second = matched_negatives(asked, ranked_groups(items, popularity, None, seed), popularity, "attribute_matched:fallback", size, seed)
+    second = saved(matched_negatives(asked, ranked_groups(items, popularity, None, seed), popularity, "attribute_matched:fallback", size, seed))
     both = with_target(first, examples).withColumn("attribute_matched", F.lit(True)).unionByName(with_target(second, rest, size - 1).withColumn("attribute_matched", F.lit(False)))
     return shuffled(both, "attribute_matched", seed)
 
