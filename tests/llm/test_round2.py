@@ -104,7 +104,7 @@ def plain_words(text):
     return [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ") if w]
 
 
-def test_stages_against_plain_python(spark):
+def test_stages_against_plain_python(spark, tmp_path):
     """Duplicates, decontamination and the mix of a small corpus, each stage against a version without any index."""
     base = ["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen",
             "ships and harbours lie quiet in the winter fog while gulls cry over the cold grey water of the bay"]
@@ -132,6 +132,13 @@ def test_stages_against_plain_python(spark):
     got = corpus_pipeline.duplicate_stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == kept
 
+    items = [(1, "held item words that the benchmark has in it"), (2, "ships and harbours lie quiet in the winter fog while gulls cry"), (3, "nothing like this anywhere at all")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shingles = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := plain_words(t)) else set()
+    clean = sorted(r[0] for r in rows if not any(5 * len(s & sets[r[0]]) >= 4 * len(s) for s in (shingles(t) for _, t in items)))
+    got = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == clean and 0 < len(clean) < len(rows)
+
     mixed = corpus_pipeline.mixing_stage(spark, docs, "").collect()
     source = {r[0]: plain_words(r[1]) for r in rows}
     taken = {r["doc_id"]: plain_words(r["text"]) for r in mixed}
