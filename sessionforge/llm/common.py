@@ -49,17 +49,44 @@ def cleaned(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _libc(call: str, *args: int) -> None:
+    try:
+        getattr(ctypes.CDLL(None), call)(*args)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: What workers keep between batches and tasks of one function (tables, models), and the function that ran last.
+CACHES: list[dict] = []
+_RUNNING = {"name": ""}
+
+
+def cache() -> dict:
+    """A worker's cache for a function's tasks, emptied when another function's task begins there."""
+    CACHES.append({})
+    return CACHES[-1]
+
+
+def _settle(name: str) -> None:
+    pa.set_memory_pool(pa.system_memory_pool())
+    _libc("mallopt", -3, 1 << 20)  # M_MMAP_THRESHOLD
+    if _RUNNING["name"] != name:
+        _RUNNING["name"] = name
+        for kept in [*CACHES, _POWERS]:
+            kept.clear()
+        _libc("malloc_trim", 0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function over batches that gives its worker's free memory back to the system when it ends: workers are kept
-    for later tasks and stages, and what they hold counts against the executor."""
+    """A function over batches that gives its worker's free memory back to the system: arrays of a megabyte and more when
+    they are freed, the rest when it ends, and what other functions kept there. Workers live on for later tasks and
+    stages, and what they hold counts against the executor."""
+    name = f"{run.__module__}.{run.__qualname__}"
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settle(name)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        _libc("malloc_trim", 0)
 
     return inner
 

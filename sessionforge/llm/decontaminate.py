@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, distinct_sets, mix, row_name, saved, shingle_hashes, slices, text_buffer, tidy, without, word_hashes
+from .common import U64, byte_table, cache, distinct_sets, mix, row_name, saved, shingle_hashes, slices, text_buffer, tidy, without, word_hashes
 
 WORDS, THRESHOLD, MINHASHES, LEAST_CLASS = 5, 0.8, 64, 8
 #: Items of so few shingles are looked up by each of them.
@@ -120,7 +120,7 @@ class Items:
         return out
 
 
-_ITEMS: dict[int, Items] = {}
+_ITEMS: dict[int, Items] = cache()
 
 
 def _items(ids: list, texts: list[str], k: int) -> Items:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, text_buffer, tidy
+from .common import cache, held_out, slices, text_buffer, tidy
 
 ROWS = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 PIECE, BLOCK = 512, 4096
@@ -158,7 +158,7 @@ class CrossParser:
         return best, score, least
 
 
-_PARSERS: dict[int, CrossParser] = {}
+_PARSERS: dict[int, CrossParser] = cache()
 
 
 def parser(texts: dict[str, bytes]) -> CrossParser:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, slices, tidy
+from .common import cache, scratch_dir, slices, tidy
 
 MANIFEST = "shard int, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -120,7 +120,7 @@ class Encoder:
         return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = cache()
 
 
 def encoder(path: str) -> Encoder:
