@@ -28,11 +28,11 @@ def series(items: DataFrame) -> DataFrame:
 
 
 def one_digit(x: Column) -> Column:
-    """A number from 0 to 7 with one digit, half to even, by the exact value of the double: its 50 binary places and
+    """A number from 1 to 7 with one digit, half to even, by the exact value of the double: its 52 binary places and
     all of its digits fit a long."""
-    m = (x * F.lit(2.0**50)).cast("long")
-    unit, half = F.lit(1 << 50), F.lit(1 << 49)
-    down = F.shiftright(m * 10, 50)
+    m = (x * F.lit(2.0**52)).cast("long")
+    unit, half = F.lit(1 << 52), F.lit(1 << 51)
+    down = F.shiftright(m * 10, 52)
     rest = m * 10 - down * unit
     k = down + F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
     return F.concat(F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string"))
