@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionforge.operators import context, pools, rankers
+from sessionforge.operators import context, ensemble, pools, rankers
 from sessionforge.sources.scratch import saved
 
 
@@ -34,3 +34,16 @@ def test_exploded_rows_are_dealt_in_rankers_and_contexts(spark):
     assert "BroadcastHashJoin" not in _plan(some.join(rankers.history_rows(examples, 50), "session_id"))
     shown = examples.withColumn("candidates", F.col("prefix"))
     assert "BroadcastHashJoin" not in _plan(context.content(shown, items, examples))
+
+
+def test_many_rows_of_small_files_are_dealt(spark):
+    """Negatives and answers: their files are a hundredth of what they are in memory."""
+    examples = _examples(spark)
+    negatives = saved(examples.select("session_id", F.explode("prefix").alias("item_id")))
+    plan = _plan(pools.with_target(negatives, examples))
+    assert "SortMergeJoin [session_id" in plan  # the sessions that have any may still be sent
+    rows = examples.select("session_id", "split", "target", F.posexplode("prefix").alias("position", "item_id"))
+    answers = saved(rows.crossJoin(spark.createDataFrame([("a:title",), ("b:genre",)], "member string")).withColumn("score", F.col("position").cast("double")).withColumn("slot", F.col("position")))
+    weights = saved(answers.select("session_id", "member").distinct().withColumn("weight", F.lit(0.5)))
+    assert "BroadcastHashJoin" not in _plan(ensemble.weighted(answers, weights))
+    assert "BroadcastHashJoin" not in _plan(rankers.session_metrics(answers.select("session_id", "member", "item_id", "score"), examples, "member"))
