@@ -33,8 +33,8 @@ from .common import cache, scratch_dir, slices, tidy
 
 MANIFEST = "shard int, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
-#: Encoded chunks that a worker keeps at most.
-CACHE_ENTRIES = 600_000
+#: Encoded parts that a worker fills before it sets them aside: those met again come back, the rest goes at the next turn.
+CACHE_ENTRIES = 400_000
 _BEFORE_SPACE = re.compile(r"\s ")
 
 
@@ -55,12 +55,15 @@ class _Parts(dict):
 
     def __init__(self, owner: Encoder, before: str):
         super().__init__()
-        self.owner, self.before = owner, before
+        self.owner, self.before, self.aside = owner, before, {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > CACHE_ENTRIES:
+        if (got := self.aside.get(part)) is None:
+            got = self.owner.part(self.before + part)
+        if len(self) >= CACHE_ENTRIES:
+            self.aside = dict(self)
             self.clear()
-        self[part] = got = self.owner.part(self.before + part)
+        self[part] = got
         return got
 
 
@@ -86,7 +89,8 @@ class Encoder:
         self.shown = shown | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.packed = struct.Struct("<H" if self.kind.itemsize == 2 else "<I").pack
+        packed = struct.Struct("<H" if self.kind.itemsize == 2 else "<I").pack
+        self.codes = [packed(i) for i in range(max(kept["vocab"].values()) + 1)]
         self.first, self.later, self.words = _Parts(self, ""), _Parts(self, " "), {}
 
     def whole(self, text: str) -> bytes:
@@ -96,22 +100,28 @@ class Encoder:
         """The characters that stand for a text's bytes in the vocabulary."""
         return "".join(map(self.shown.__getitem__, text.encode()))
 
+    def word(self, shown: str) -> bytes:
+        codes = self.codes
+        return b"".join([codes[t.id] for t in self.model.tokenize(shown)])
+
     def part(self, text: str) -> bytes:
-        words, out, packed = self.words, [], self.packed
-        if len(words) > CACHE_ENTRIES:
-            words.clear()
-        core = text[1:] if text[:1] == " " else text
-        if core.isalpha():  # letters are one word, with the space before them
-            pieces = [self.bytes(text)]
-        elif core[:-1].isalpha() and core[-1:] in (",", "."):
-            pieces = [self.bytes(text[:-1]), core[-1]]
-        else:
-            pieces = [word for word, _ in self.cut(text)]
-        for word in pieces:
-            if (got := words.get(word)) is None:
-                got = words[word] = b"".join([packed(t.id) for t in self.model.tokenize(word)])
-            out.append(got)
-        return b"".join(out)
+        spaced = text[:1] == " "
+        core = text[1:] if spaced else text
+        if core.isalpha():  # letters are one word, with the space before them; its parts keep it
+            if core.isascii():  # letters stand for themselves
+                return self.word(self.shown[32] + core if spaced else core)
+            return self.word(self.bytes(text))
+        if core[-1:] in (",", ".") and core[:-1].isalpha():
+            return (self.later if spaced else self.first)[core[:-1]] + self._kept(core[-1])
+        return b"".join([self._kept(word) for word, _ in self.cut(text)])
+
+    def _kept(self, shown: str) -> bytes:
+        words = self.words
+        if (got := words.get(shown)) is None:
+            if len(words) >= CACHE_ENTRIES:
+                words.clear()
+            got = words[shown] = self.word(shown)
+        return got
 
     def __call__(self, text: str) -> bytes:
         if _BEFORE_SPACE.search(text) or any(t in text for t in self.added):
